@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxloom.llm import residue, tokens
+from rxloom.llm import components, residue, tokens
 from rxloom.session import read_table
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = lambda c: F.nullif(F.upper(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), F.lit(""))
+    reviews = read_table(spark, sf_dir, "entity_resolution_reviews").where("status is null or status <> 'rejected'")
+    edges = reviews.select(clean("candidate_a_id").alias("a"), clean("candidate_b_id").alias("b"))
+    return components.connected_components(spark, edges).select(F.col("node").alias("entity_id"), F.col("component").alias("group_id"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(spark, read_table(spark, sf_dir, "documents"))
 
@@ -21,6 +28,14 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(read_table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_roundtrip, p10_found)}
+QUERIES = {f.__name__: f for f in (p7_found, p8_ids, p8_roundtrip, p10_found)}
+
+_P7 = r"""
+with recursive e as (
+  select a, b from (select upper(regexp_replace(candidate_a_id, '^\s+|\s+$', '', 'g')) as a, upper(regexp_replace(candidate_b_id, '^\s+|\s+$', '', 'g')) as b
+    from entity_resolution_reviews where status is distinct from 'rejected') where a <> '' and b <> ''),
+either as (select a, b from e where a <> b union select b, a from e where a <> b),
+reach as (select a, b from either union select r.a, x.b from reach r join either x on r.b = x.a)
+select a as entity_id, least(a, min(b)) as group_id from reach group by a"""
 
-ORACLE = {"p8_roundtrip": "select doc_id, coalesce(text, '') as text from documents"}
+ORACLE = {"p7_found": _P7, "p8_roundtrip": "select doc_id, coalesce(text, '') as text from documents"}
