@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxloom.llm import components, residue, tokens
+from rxloom.llm import components, neardup, residue, tokens
 from rxloom.session import read_table
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(spark, read_table(spark, sf_dir, "label_warnings"))
+    return found.select(F.col("id").alias("warning_id"), "group_id").distinct()
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = lambda c: F.nullif(F.upper(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), F.lit(""))
     reviews = read_table(spark, sf_dir, "entity_resolution_reviews").where("status is null or status <> 'rejected'")
@@ -28,7 +33,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(read_table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p8_ids, p8_roundtrip, p10_found)}
+QUERIES = {f.__name__: f for f in (p5_found, p7_found, p8_ids, p8_roundtrip, p10_found)}
 
 _P7 = r"""
 with recursive e as (
