@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxloom.llm import components, neardup, residue, tokens
-from rxloom.session import read_table
+from rxloom.llm import components, names, neardup, residue, tokens
+from rxloom.session import Scratch, read_table
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("warning_id"), "group_id").distinct()
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of ids of one organisation; groups of copies need every pair here, as the cases are pairs."""
+    one, _ = Scratch(spark).keep(names.same_organisation(spark, read_table(spark, sf_dir, "manufacturer_versions")))
+    pairs = one.alias("x").join(one.alias("y"), "organisation").where("x.manufacturer_id < y.manufacturer_id")
+    return pairs.select(F.col("x.manufacturer_id").alias("manufacturer_id_a"), F.col("y.manufacturer_id").alias("manufacturer_id_b"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = lambda c: F.nullif(F.upper(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), F.lit(""))
     reviews = read_table(spark, sf_dir, "entity_resolution_reviews").where("status is null or status <> 'rejected'")
@@ -33,7 +40,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(read_table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p7_found, p8_ids, p8_roundtrip, p10_found)}
+QUERIES = {f.__name__: f for f in (p5_found, p6_found, p7_found, p8_ids, p8_roundtrip, p10_found)}
 
 _P7 = r"""
 with recursive e as (
