@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxloom.llm import components, names, neardup, residue, tokens
+from rxloom.llm import components, mixing, names, neardup, residue, tokens
 from rxloom.session import Scratch, read_table
 
 
@@ -36,11 +36,19 @@ def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.decode(spark, p8_ids(spark, sf_dir))
 
 
+def p9_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p9_copies(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(read_table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_found, p7_found, p8_ids, p8_roundtrip, p10_found)}
+QUERIES = {f.__name__: f for f in (p5_found, p6_found, p7_found, p8_ids, p8_roundtrip, p9_copies, p9_shares, p10_found)}
 
 _P7 = r"""
 with recursive e as (
