@@ -42,7 +42,7 @@ SEED = 20240229
 
 def words_of(text: Column) -> Column:
     """The distinct lower-cased words (longest runs of letters and digits), sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))))
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))))
 
 
 def _pi(universe: int, coordinates: int) -> np.ndarray:
