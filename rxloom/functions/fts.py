@@ -14,6 +14,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType
 
 #: The customary English stop words of text search.
 STOP_WORDS = (
@@ -133,8 +134,7 @@ def tokens(text: str) -> list[tuple[str, int]]:
     return [(stem(x), i + 1) for i, x in enumerate(words) if x not in _STOP]
 
 
-@F.pandas_udf("map<string, array<int>>")
-def to_vector(texts: pd.Series) -> pd.Series:
+def _vectors(texts: pd.Series) -> pd.Series:
     def one(text):
         if not isinstance(text, str):
             return None
@@ -146,11 +146,20 @@ def to_vector(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-def plain_vector(text: Column) -> Column:
-    """A vector without stemming or stop words, made in the JVM."""
+def to_vector(text: Column) -> Column:
+    """The vector of a text; null of null."""
+    return F.pandas_udf(_vectors, MapType(StringType(), ArrayType(IntegerType())))(text)
+
+
+def plain_vector(text: Column, terms: list[str]) -> Column:
+    """The part of a text's vector that a query of these terms needs, made in the JVM: one pass over the
+    words, without stemming or stop words."""
     words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-    placed = F.transform(words, lambda w, i: F.struct(w.alias("w"), (i + 1).alias("p")))
-    return F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("key"), F.transform(F.filter(placed, lambda x: x["w"] == w), lambda x: x["p"]).alias("value"))))
+    asked = F.array(*map(F.lit, terms))
+    placed = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), (i + 1).alias("p"))), lambda x: F.array_contains(asked, x["w"]))
+    at = lambda t: F.transform(F.filter(placed, lambda x: x["w"] == t), lambda x: x["p"])
+    entries = F.filter(F.array(*(F.struct(F.lit(t).alias("key"), at(t).alias("value")) for t in terms)), lambda e: F.size(e["value"]) > 0)
+    return F.map_from_entries(entries)
 
 
 def all_terms(query: str) -> list[str]:

@@ -97,7 +97,7 @@ def fold(rows: list[tuple], existing: list[tuple], scores: dict) -> list[tuple]:
     return out
 
 
-def _folder(key, mine: pd.DataFrame) -> pd.DataFrame:
+def _folder(key: tuple, mine: pd.DataFrame) -> pd.DataFrame:
     rows = mine[mine.kind == "candidate"].sort_values("ordinal")
     old = mine[mine.kind == "existing"]
     pairs = mine[mine.kind == "pair"]
