@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxloom.llm import components, mixing, names, neardup, residue, tokens
+from rxloom.llm import components, linkage, mixing, names, neardup, residue, tokens
 from rxloom.session import Scratch, read_table
 
 
+def p3_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.match_products(spark, read_table(spark, sf_dir, "label_records"), read_table(spark, sf_dir, "spl_documents"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_confidence(spark, sf_dir).where("confidence >= 0.5").select("record_id", "document_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(spark, read_table(spark, sf_dir, "label_warnings"))
     return found.select(F.col("id").alias("warning_id"), "group_id").distinct()
@@ -48,7 +56,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(read_table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_found, p7_found, p8_ids, p8_roundtrip, p9_copies, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_confidence, p5_found, p6_found, p7_found, p8_ids, p8_roundtrip, p9_copies, p9_shares, p10_found)}
 
 _P7 = r"""
 with recursive e as (
