@@ -216,6 +216,8 @@ def _aligned(a: dict, b: dict) -> float:
     right = [y for y in b["bases"] if not any(same(x, y) for x in a["bases"])]
     if not left and not right:
         return 3.0
+    if n >= 2 and len(left) == len(right) == 1:
+        return 0.5  # one unknown name among others that agree speaks for little
     # names that nothing is known of: the records' codes must account for them
     return 2.0 if len(set(a["uniis"]) & set(b["uniis"])) >= n else -9.0
 
@@ -246,6 +248,8 @@ def _same_strength(a: dict, b: dict) -> float:
 def _same_name(a: dict, b: dict) -> float:
     if not a["words"] or not b["words"]:
         return 0.5
+    if a["more"] == b["more"] and (a["generic"] or b["generic"]) and edits("".join(a["words"]), "".join(b["words"]), 2) <= 2:
+        return 3.0
     if a["generic"] and b["generic"]:
         return 2.0 if a["more"] == b["more"] else -9.0
     if a["generic"] != b["generic"]:

@@ -40,9 +40,14 @@ BROADCAST_IDS = 4_000_000
 SEED = 20240229
 
 
-def words_of(text: Column) -> Column:
-    """The distinct lower-cased words (longest runs of letters and digits), sorted."""
-    return F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))))
+def distinct_words(text: Column) -> Column:
+    """The distinct lower-cased words (longest runs of letters and digits)."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9\p{L}\p{Nd}]+"), F.lit(0)))
+
+
+def _fingerprint(hashes: np.ndarray) -> bytes:
+    """128 bits of a set of words, whatever their order: one sum of their hashes, one of mixed hashes."""
+    return hashes.sum(dtype=np.uint64).tobytes() + _mix(hashes + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).tobytes()
 
 
 def _pi(universe: int, coordinates: int) -> np.ndarray:
@@ -126,8 +131,11 @@ def _signer(bands: int, rows: int, parts: int, key_bytes: int):
             waiting.clear()
 
         for batch in batches:
-            for id_, fp, hashes in zip(batch["id"], batch["fp"], batch["hashes"]):
-                waiting.append((int(id_), bytes(fp), len(hashes), np.asarray(hashes).view(np.uint64)))
+            for id_, hashes in zip(batch["id"], batch["hashes"]):
+                if not len(hashes):  # no word: no case
+                    continue
+                own = np.asarray(hashes).view(np.uint64)
+                waiting.append((int(id_), _fingerprint(own), len(own), own))
                 if len(waiting) >= CHUNK:
                     yield from flush()
         if waiting:
@@ -200,8 +208,7 @@ def near_duplicates(
     scratch = Scratch(spark)
     parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = texts.select(F.col("id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    split = source.select("id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
-    hashed = split.select("id", F.unhex(F.md5(F.array_join("w", " "))).alias("fp"), F.transform("w", lambda x: F.xxhash64(x)).alias("hashes"))
+    hashed = source.select("id", F.transform(distinct_words(F.col("text")), lambda x: F.xxhash64(x)).alias("hashes"))
     signed_at = f"{scratch.root}/signed"
     hashed.mapInPandas(_signer(bands, rows, parts, key_bytes), _SIGNED).write.partitionBy("kind").option("compression", "zstd").parquet(signed_at)
     signed = spark.read.schema(_SIGNED).parquet(signed_at)
@@ -234,7 +241,7 @@ def near_duplicates(
         asked = source.dropDuplicates(["id"]) if not few else source.join(F.broadcast(wanted), "id", "left_semi").dropDuplicates(["id"])
         left = pairs.join(asked.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         both = left.join(asked.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        common = both.select("a", "b", words_of(F.col("ta")).alias("wa"), words_of(F.col("tb")).alias("wb")).withColumn("n", F.size(F.array_intersect("wa", "wb")))
+        common = both.select("a", "b", distinct_words(F.col("ta")).alias("wa"), distinct_words(F.col("tb")).alias("wb")).withColumn("n", F.size(F.array_intersect("wa", "wb")))
         return common.where(F.col("n") >= threshold * (F.size("wa") + F.size("wb") - F.col("n")) - 1e-9).select("a", "b")
 
     found, _ = scratch.keep(verified(thinned(buckets.where("kind = 'pair'").select("a", "b").distinct())))
