@@ -256,8 +256,10 @@ def near_duplicates(
     open_, _ = scratch.keep(grouped.join(mixed, "bucket"))
     across = open_.alias("p").join(open_.alias("q"), "bucket").where("p.g < q.g").select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")).distinct()
     also, _ = scratch.keep(verified(thinned(across)))
-    links, _ = scratch.keep(found.unionByName(also).distinct())
-    groups = connected_components(spark, links)
+    links = found
+    if not also.isEmpty():
+        links, _ = scratch.keep(found.unionByName(also).distinct())
+        groups = connected_components(spark, links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     placed = owners.join(groups.select(F.col("node").alias("rep"), F.col("component").alias("g")), "rep", "left").join(degree, "rep", "left")
     cases = placed.where("g is not null or copies > 1").select("fp", F.coalesce("g", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
