@@ -336,7 +336,7 @@ def _rivals(pairs: DataFrame, record: str, other: str, features: DataFrame) -> D
     """record, x, y (both ways): candidates of a record that can't be one product."""
     one = pairs.select(record, F.col(other).alias("x"))
     both = one.join(one.select(record, F.col("x").alias("y")), record).where("x < y")
-    told, _ = Scratch(pairs.sparkSession).keep(_judged(both.select("x", "y").distinct(), features, features, "x", "y", []).where(F.col("w") <= KEEP).select("x", "y"))
+    told, _ = Scratch(pairs.sparkSession).keep(_judged(both.select("x", "y").distinct(), features, features, "x", "y", []).where("w < 0").select("x", "y"))
     apart = both.join(told, ["x", "y"])
     return apart.select(record, "x", "y").unionByName(apart.select(record, F.col("y").alias("x"), F.col("x").alias("y")))
 
@@ -345,7 +345,8 @@ def propagate(spark: SparkSession, pairs: DataFrame, rivals_a: DataFrame, rivals
     """a, b, confidence of pairs (a, b, w): marginals under the factors of a's and b's rivals.
 
     Message of a about (a, b): odds / (1 + the sum of the messages to a of b's rivals); the same from b.
-    A pair without rivals has its own odds as marginal. Damped by half and written at each step.
+    A pair without rivals has its own odds as marginal. Written at each step, and damped by half after two;
+    it ends when no message changes by more than the share `settled`.
     """
     scratch = Scratch(spark)
     odds = F.exp(F.least(F.greatest(F.col("w"), F.lit(-20.0)), F.lit(20.0)))
@@ -357,17 +358,19 @@ def propagate(spark: SparkSession, pairs: DataFrame, rivals_a: DataFrame, rivals
     held, path = scratch.keep(whole.join(touched, ["a", "b"], "left_semi").withColumn("ma", F.col("t")).withColumn("mb", F.col("t")))
     confidence = (F.col("ma") * F.col("mb") / F.col("t")) / (1 + F.col("ma") * F.col("mb") / F.col("t"))
     if not held.isEmpty():
-        for _ in range(steps):
+        for n in range(steps):
+            old = 0.0 if n < 2 else 0.5
+            mix = lambda c, s: (F.col(c) * old + F.col("t") / (1 + F.coalesce(s, F.lit(0.0))) * (1 - old)).alias(c)  # noqa: B023, E731
             to_a = ra.join(held.select("a", F.col("b").alias("o"), F.col("mb").alias("m")), ["a", "o"]).groupBy("a", "b").agg(F.sum("m").alias("sa"))
             to_b = rb.join(held.select("b", F.col("a").alias("o"), F.col("ma").alias("m")), ["b", "o"]).groupBy("a", "b").agg(F.sum("m").alias("sb"))
             moved = held.join(to_a, ["a", "b"], "left").join(to_b, ["a", "b"], "left").select(
-                "a", "b", "t", confidence.alias("was"),
-                ((F.col("ma") + F.col("t") / (1 + F.coalesce("sa", F.lit(0.0)))) / 2).alias("ma"), ((F.col("mb") + F.col("t") / (1 + F.coalesce("sb", F.lit(0.0)))) / 2).alias("mb"),
+                "a", "b", "t", mix("ma", "sa"), mix("mb", "sb"), F.col("ma").alias("wa"), F.col("mb").alias("wb")
             )
             ahead, at = scratch.keep(moved)
-            change = ahead.agg(F.max(F.abs(confidence - F.col("was")))).first()[0]
+            apart = F.greatest(F.abs(F.log(F.col("ma") / F.col("wa"))), F.abs(F.log(F.col("mb") / F.col("wb"))))
+            change = ahead.agg(F.max(apart)).first()[0]
             scratch.drop(path)
-            held, path = ahead.drop("was"), at
+            held, path = ahead.drop("wa", "wb"), at
             if change is None or change < settled:
                 break
     alone = whole.join(touched, ["a", "b"], "left_anti").select("a", "b", (F.col("t") / (1 + F.col("t"))).alias("confidence"))
