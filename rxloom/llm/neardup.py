@@ -45,11 +45,6 @@ def distinct_words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9\p{L}\p{Nd}]+"), F.lit(0)))
 
 
-def _fingerprint(hashes: np.ndarray) -> bytes:
-    """128 bits of a set of words, whatever their order: one sum of their hashes, one of mixed hashes."""
-    return hashes.sum(dtype=np.uint64).tobytes() + _mix(hashes + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).tobytes()
-
-
 def _pi(universe: int, coordinates: int) -> np.ndarray:
     pi = np.random.default_rng(SEED).permutation(universe).astype(np.uint32)
     return np.concatenate([pi, pi[:coordinates]])
@@ -64,13 +59,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def signatures(hashes: list[np.ndarray], pi: np.ndarray, coordinates: int) -> np.ndarray:
-    """One row of ``coordinates`` minima for each text's word hashes (none empty)."""
-    universe = len(pi) - coordinates
+def slots_of(hashes: np.ndarray, universe: int) -> np.ndarray:
+    """The slots (sigma) of word hashes."""
+    return (_mix(hashes) % np.uint64(universe)).astype(np.int32)
+
+
+def fingerprints(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """128 bits of each set of words, whatever their order: a sum of hashes, and one of mixed hashes."""
+    with np.errstate(over="ignore"):
+        return np.stack([np.add.reduceat(hashes, starts), np.add.reduceat(_mix(hashes + np.uint64(0x9E3779B97F4A7C15)), starts)], 1)
+
+
+def signatures(slots: list[np.ndarray], pi: np.ndarray, coordinates: int) -> np.ndarray:
+    """One row of ``coordinates`` minima for each text's slots (none empty)."""
     slices = np.lib.stride_tricks.sliding_window_view(pi, coordinates)
-    out = np.empty((len(hashes), coordinates), np.uint32)
-    for i, h in enumerate(hashes):
-        out[i] = slices[np.unique(_mix(h) % np.uint64(universe)).astype(np.int64)].min(axis=0)
+    out = np.empty((len(slots), coordinates), np.uint32)
+    for i, s in enumerate(slots):
+        slices[s].min(axis=0, out=out[i])
     return out
 
 
@@ -131,11 +136,17 @@ def _signer(bands: int, rows: int, parts: int, key_bytes: int):
             waiting.clear()
 
         for batch in batches:
-            for id_, hashes in zip(batch["id"], batch["hashes"]):
-                if not len(hashes):  # no word: no case
-                    continue
-                own = np.asarray(hashes).view(np.uint64)
-                waiting.append((int(id_), _fingerprint(own), len(own), own))
+            lists = [np.asarray(h) for h in batch["hashes"]]
+            sizes = np.array([len(h) for h in lists], np.int64)
+            kept = np.flatnonzero(sizes)  # a text without a word is no case
+            if not len(kept):
+                continue
+            flat = np.concatenate([lists[i] for i in kept]).view(np.uint64)
+            starts = np.r_[0, np.cumsum(sizes[kept])[:-1]]
+            fps, slots = fingerprints(flat, starts), slots_of(flat, UNIVERSE)
+            ids = batch["id"].to_numpy()[kept]
+            for id_, fp, at, n in zip(ids, fps, starts, sizes[kept]):
+                waiting.append((int(id_), fp.tobytes(), int(n), slots[at : at + n]))
                 if len(waiting) >= CHUNK:
                     yield from flush()
         if waiting:

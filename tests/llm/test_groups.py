@@ -118,7 +118,8 @@ def test_signatures_estimate_similarity():
         for _ in range(40):
             both, rest = int(200 * share), (200 - int(200 * share)) // 2
             pool = rng.integers(1, 2**62, 200, dtype=np.uint64)
-            sig = neardup.signatures([np.r_[pool[:both], pool[both : both + rest]], np.r_[pool[:both], pool[both + rest : both + 2 * rest]]], pi, 512)
+            two = [np.r_[pool[:both], pool[both : both + rest]], np.r_[pool[:both], pool[both + rest : both + 2 * rest]]]
+            sig = neardup.signatures([neardup.slots_of(h, neardup.UNIVERSE) for h in two], pi, 512)
             found.append((sig[0] == sig[1]).mean())
         assert abs(np.mean(found) - share) < 0.02
 
