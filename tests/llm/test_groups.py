@@ -171,6 +171,23 @@ def test_average_linkage():
     assert names.average_linkage([], {}, 0.5) == {}
 
 
+def test_linkage_of_large_groups(spark):
+    r = random.Random(3)
+    ids = [r.randrange(-(2**63), 2**63) for _ in range(2_600)]
+    chain = {(min(p), max(p)): r.choice([0.6, 0.7, 0.8, 0.9]) for p in zip(ids[:2_200], ids[1:2_200])}
+    crowd = {}
+    while len(crowd) < 700:
+        a, b = r.sample(ids[2_200:2_300], 2)
+        crowd[(min(a, b), max(a, b))] = r.choice([0.6, 0.7, 0.8, 0.9])
+    near = chain | crowd
+    links = spark.createDataFrame([(*p, s) for p, s in near.items()], "a long, b long, likeness double")
+    cores = spark.createDataFrame([(i,) for i in ids], "node long")
+    want = {i: i for i in ids} | names.average_linkage([n for p in near for n in p], near, names.CLUSTER)
+    assert len({want[i] for i in ids[:2_200]}) > 500
+    assert {x.node: x.cluster for x in names.cluster_cores(spark, cores, links).collect()} == want
+    assert {x.node: x.cluster for x in names.distributed_linkage(spark, links, names.CLUSTER).collect()} == {n: want[n] for p in near for n in p}
+
+
 # -- linkage --------------------------------------------------------------------------------------------
 
 
