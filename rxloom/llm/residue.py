@@ -6,8 +6,8 @@ Everything is a JVM-side expression over one row: no shuffle, no Python. Three j
   like a field's name; code blocks and the tags of plain markup are taken out first;
 * a passage of filler: a run of stand-in words, or a sentence that announces text to come;
 * a whole page that is an error message or a notice that scripts, cookies or a human check are
-  needed: what is left after the page's menu and footer are taken away must be short, and its
-  sentences must be of that kind (density), so texts that merely speak of errors don't count.
+  needed: of what is left after the page's menu and footer are taken away, however long, half the
+  sentences or lines must be of that kind (density), so texts that merely speak of errors don't count.
 
 Null, empty and blank texts are no cases. Texts of any length are read whole: all patterns are
 bounded, so that no match needs backtracking over the text.
@@ -126,14 +126,15 @@ _ALONG = [
 
 #: Lines of a page around its content.
 _CHROME = (
-    r"(?im)^[ \t]*(?:[^\n|]{1,30}(?:\|[^\n|]{1,30}){1,9}|[^\n>.]{1,40}(?: > [^\n>.]{1,40}){1,6}|={2,}[^\n]{0,60}={2,}|-{2,}[^\n]{0,60}-{2,}|(?:©|\(c\)|copyright)[^\n]{0,80}|back to (?:top|home|start)|"
-    r"(?:menu|home|search|log ?in|sign in|skip to content|contact|terms(?: of use)?|privacy|accessibility|about|help)(?:[ \t]{1,4}(?:menu|home|search|log ?in|sign in|contact|terms(?: of use)?|privacy|accessibility|about|help|labels|recalls)){0,6})[ \t]*\r?$"
+    r"(?im)^[ \t]*(?:[^\n|]{1,30}+(?:\|[^\n|]{1,30}+)++|[^\n>.]{1,40}+(?:(?<= )> [^\n>.]{1,40}+)++|={2,}[^\n]{0,60}={2,}|-{2,}[^\n]{0,60}-{2,}|(?:©|\(c\)|copyright)[^\n]{0,80}|back to (?:top|home|start)|"
+    r"(?:menu|home|search|log ?in|sign in|skip to content|contact|terms(?: of use)?|privacy|accessibility|about|help)(?:[ \t]{1,4}(?:menu|home|search|log ?in|sign in|contact|terms(?: of use)?|privacy|accessibility|about|help|labels|recalls))*+)[ \t]*\r?$"
 )
 _CODE = r"(?s)```.{0,20000}?```|<pre\b.{0,20000}?</pre>|<code\b.{0,20000}?</code>"
 _MARKUP = r"(?i)</?(?:p|br|div|span|noscript|b|i|em|strong|h[1-6]|html|body|head|title|center)\s?/?>"
 _LINK = r"[.!?…;:]+\s+|\s*[\r\n]+\s*"
-
-MOST_OF_A_PAGE = 600
+#: Lines of a stack trace; one that names a file brings a line of code along.
+_TRACE = r"(?i)^\s*(?:at [\w.$<>/]{1,200}\(|traceback \(most recent|caused by:|\.\.\. \d+ more|exception in thread|during handling of the above|[\w.$]{0,80}(?:exception|error)\b(?::|\s*$))"
+_FILE = r"(?i)^\s*file \"[^\"\n]{1,300}\", line \d"
 
 
 def _any(patterns: list[str]) -> str:
@@ -168,10 +169,11 @@ def error_page(text: Column) -> Column:
     notice = F.size(F.filter(sentences, lambda s: s.rlike(begins(_NOTICE))))
     along = F.size(F.filter(sentences, lambda s: s.rlike(begins(_ALONG))))
     dense = (notice >= 1) & ((notice + along) * 2 >= F.size(sentences))
-    scripted = core.rlike(r"(?is)^<noscript>.{0,400}</noscript>$")
-    whole = (F.length(core) <= MOST_OF_A_PAGE) & (F.length(core) > 0) & (dense | scripted | F.lower(core).rlike("^(?:traceback|\\{ ?\"error|java\\.|exception)"))
-    # a core this short comes from no text longer than it and a page's menu and footer
-    return F.when(F.length(text) <= 5 * MOST_OF_A_PAGE, whole).otherwise(False)
+    lines = F.filter(F.split(core, r"[\r\n]+"), lambda s: F.length(F.trim(s)) > 0)
+    count = lambda p: F.size(F.filter(lines, lambda s: s.rlike(p)))
+    traced = core.rlike("(?m)" + _TRACE) & ((count(_TRACE) + 2 * count(_FILE)) * 2 >= F.size(lines))
+    scripted = core.rlike(r"(?is)^<noscript>(?:(?!</noscript>).)*+</noscript>$")
+    return (F.length(core) > 0) & (dense | traced | scripted | F.lower(core).rlike("^\\{ ?\"error"))
 
 
 def find_residue(docs: DataFrame) -> DataFrame:

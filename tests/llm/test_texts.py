@@ -85,3 +85,20 @@ def test_residue(spark):
     assert [whole[i] for i in range(len(FINE)) if i in got] == []
     assert [whole[i][:80] for i in range(len(FINE), len(whole)) if i not in got] == []
     assert residue.find_residue(df.limit(0)).count() == 0
+
+
+TRACE = "java.lang.IllegalStateException: no label\n" + "".join(f"\tat org.labels.Viewer.step{i}(Viewer.java:{i})\n" for i in range(300))
+PY_TRACE = "Traceback (most recent call last):\n" + "".join(f'  File "/srv/labels/view{i}.py", line {i}, in show\n    return render(label, {i})\n' for i in range(200)) + "KeyError: 'dose'"
+LONG_PAGES = [
+    TRACE, PY_TRACE, "404 Not Found\n\n" + "The requested page was not found on this server. Please go back and try again.\n" * 60, "Home | " + "Labels | " * 60 + "Recalls\n" + "Home | Labels\n" * 400 + "Access denied. You do not have permission.",
+    '{"error": {"code": "GONE", "trace": "' + "frame " * 900 + '"}}', "<noscript>" + "Content cannot be displayed unless scripting is active. " * 80 + "</noscript>", "Service temporarily unavailable." + "\n \n" * 3_000,
+]
+LONG_PROSE = [
+    "Exceptions to this dose are listed below. " + "Take one tablet with food in the morning. " * 90, "Error 404 means air in the line. " + "Call the clinic if the pump stops. " * 200,
+    "The log of the pump is kept.\n" * 50 + TRACE[:200] + "\n" + "Store the pump at room temperature.\n" * 50, "El envase se guarda en su caja. " * 100,
+]
+
+
+def test_error_pages_of_any_length(spark):
+    df = spark.createDataFrame(list(enumerate(LONG_PAGES + LONG_PROSE)), "doc_id long, text string")
+    assert {r.doc_id for r in residue.find_residue(df).where("error_page").collect()} == set(range(len(LONG_PAGES)))
