@@ -3,14 +3,15 @@
 Everything is a JVM-side expression over one row: no shuffle, no Python. Three judgements:
 
 * an unfilled placeholder anywhere: one grammar for each kind of delimiter, whose inside must look
-  like a field's name; code blocks and the tags of plain markup are taken out first;
+  like a field's name; code blocks and the tags of plain markup are taken out first, and sentences
+  that explain a placeholder (inline code, wording) are set against those that hold one (density);
 * a passage of filler: a run of stand-in words, or a sentence that announces text to come;
 * a whole page that is an error message or a notice that scripts, cookies or a human check are
   needed: of what is left after the page's menu and footer are taken away, however long, half the
   sentences or lines must be of that kind (density), so texts that merely speak of errors don't count.
 
 Null, empty and blank texts are no cases. Texts of any length are read whole: all patterns are
-bounded, so that no match needs backtracking over the text.
+bounded or possessive, so that no match needs backtracking over the text.
 """
 
 from __future__ import annotations
@@ -129,7 +130,15 @@ _CHROME = (
     r"(?im)^[ \t]*(?:[^\n|]{1,30}+(?:\|[^\n|]{1,30}+)++|[^\n>.]{1,40}+(?:(?<= )> [^\n>.]{1,40}+)++|={2,}[^\n]{0,60}={2,}|-{2,}[^\n]{0,60}-{2,}|(?:©|\(c\)|copyright)[^\n]{0,80}|back to (?:top|home|start)|"
     r"(?:menu|home|search|log ?in|sign in|skip to content|contact|terms(?: of use)?|privacy|accessibility|about|help)(?:[ \t]{1,4}(?:menu|home|search|log ?in|sign in|contact|terms(?: of use)?|privacy|accessibility|about|help|labels|recalls))*+)[ \t]*\r?$"
 )
-_CODE = r"(?s)```.{0,20000}?```|<pre\b.{0,20000}?</pre>|<code\b.{0,20000}?</code>"
+#: Code blocks of any length; an unclosed fence or <pre> goes to the end, an unclosed <code> to the end of its line.
+_CODE = (
+    r"(?s)```(?:(?!```).)*+```|(?m:^)[ \t]{0,3}(?:```|~~~)(?:(?!```|~~~).)*+(?:```|~~~|\z)|<pre\b(?:(?!</pre>).)*+(?:</pre>|\z)|<code\b(?:(?!</code>).)*+</code>|<code\b[^\r\n]*+"
+)
+_INLINE = r"(`{1,2})(?!`)[^`]++\1"
+#: Wording around a placeholder that explains it: certain, or a word for placeholders with one that defines.
+_EXPLAINS = r"(?i)\b(?:(?:is|are|gets?) (?:then |later |always |automatically )?(?:replaced|substituted|expanded|interpolated)\b|stands? for\b|expands? (?:in)?to\b)"
+_SPEAKS_OF = r"(?i)\b(?:placeholders?|template (?:syntax|variables?|fields?|engines?|languages?)|merge (?:fields?|tags?)|variables?|syntax|braces|delimiters?)\b"
+_DEFINES = r"(?i)\b(?:means?|denotes?|for example|e\.g|such as|like|looks?|(?:is|are) (?:called|written|named|marked|used))\b"
 _MARKUP = r"(?i)</?(?:p|br|div|span|noscript|b|i|em|strong|h[1-6]|html|body|head|title|center)\s?/?>"
 _LINK = r"[.!?…;:]+\s+|\s*[\r\n]+\s*"
 #: Lines of a stack trace; one that names a file brings a line of code along.
@@ -142,8 +151,18 @@ def _any(patterns: list[str]) -> str:
 
 
 def placeholder(text: Column) -> Column:
-    """Whether an unfilled placeholder stands anywhere outside code."""
-    return F.regexp_replace(text, _CODE, " ").rlike(_any(PLACEHOLDERS))
+    """Whether an unfilled placeholder stands anywhere outside code, unless the text explains placeholders.
+
+    A sentence's placeholder is explained if it stands in inline code or among wording that explains
+    it. A text is no case where sentences that explain outnumber the others by more than two to one.
+    """
+    any_of = _any(PLACEHOLDERS)
+    told = F.regexp_replace(text, _CODE, " ")
+    sentences = F.filter(F.split(told, r"(?<=[.!?])\s+|[\r\n]+"), lambda s: s.rlike(any_of))
+    around = lambda s: F.regexp_replace(s, any_of, " ")
+    explains = lambda s: ~F.regexp_replace(s, _INLINE, " ").rlike(any_of) | around(s).rlike(_EXPLAINS) | (around(s).rlike(_SPEAKS_OF) & around(s).rlike(_DEFINES))
+    explained = F.size(F.filter(sentences, explains))
+    return F.when(told.rlike(any_of), explained <= 2 * (F.size(sentences) - explained)).otherwise(False)
 
 
 def filler(text: Column) -> Column:

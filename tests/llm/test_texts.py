@@ -102,3 +102,18 @@ LONG_PROSE = [
 def test_error_pages_of_any_length(spark):
     df = spark.createDataFrame(list(enumerate(LONG_PAGES + LONG_PROSE)), "doc_id long, text string")
     assert {r.doc_id for r in residue.find_residue(df).where("error_page").collect()} == set(range(len(LONG_PAGES)))
+
+
+EXPLAINED = [
+    "In a letter {{name}} stands for the patient's name.", "The placeholder ${dose} is replaced by the dose when the label is printed.", "Put `{{name}}` at the head of the letter.", "A variable is written like {{name}} in this system.",
+    "```\n" + "value = '{{name}}'\n" * 3_000 + "```\nshows a value.", "Example:\n```\nHello {{name}}\n", "<pre>" + "${dose} " * 5_000 + "</pre> ends.", "See <code>{{name}}", "Put `{{a}}` first.\nPut `{{b}}` next.\nPut `{{c}}` last.\nThe letter then begins with {{a}}.",
+]
+UNFILLED = [
+    "```\ncode\n```\nDear {{name}}, take one.", "Put `{{name}}` at the head.\nDear {{name}}, take one.", "Take ${dose} of this placeholder daily.", "Use a ``` mark.\nTake {{dose}} daily.", "See <code>x\nTake {{dose}} daily.", "[placeholder for dose_unit] take [dose_unit] like this: {{dose}}.\nTake {{dose}}.",
+]
+
+
+def test_placeholders_by_their_context(spark):
+    df = spark.createDataFrame(list(enumerate(EXPLAINED + UNFILLED)), "doc_id long, text string")
+    got = {r.doc_id for r in residue.find_residue(df).where("placeholder").collect()}
+    assert got == set(range(len(EXPLAINED), len(EXPLAINED + UNFILLED)))
