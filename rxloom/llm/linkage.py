@@ -1,28 +1,37 @@
 """Matching entities of two sources without a shared key (problem 3).
 
-Candidates share a pair of partial attributes (a word of the maker with an ingredient, the brand's word
-with an ingredient or a word of the maker). Each candidate gets log-odds from its noisy attributes;
-loopy belief propagation with one-to-one factors then lets candidates of one record compete: messages
+Candidates share a pair of partial attributes (a word of the maker with an ingredient or the name's
+first word, the name's word with an ingredient) or a whole brand name. Each candidate is compared
+attribute by attribute; the comparisons' levels make its pattern. What a pattern is worth is estimated
+from the data: expectation maximisation over the counts of patterns separates pairs of one product,
+siblings (like one product, but for one attribute) and unrelated pairs. It gives the share of each kind and
+how often each level of an attribute occurs in it. The only prior knowledge is that attributes of one
+product seldom contradict each other (CONFLICT).
+
+Loopy belief propagation with one-to-one factors then lets candidates of one record compete: messages
 go along the candidate pairs by grouped sums until they no longer change, and each pair's marginal
 probability is its confidence. A factor excludes that one record is two products: candidates of a
-record compete if they are told apart by their own attributes (another strength, line extension ...);
-several deliveries of one product don't compete, and every pair of them is a case. Records with equal
-attributes are compared once.
+record compete if they are variants that contradict each other (another strength, form, line extension
+or branch); several deliveries of one product don't compete, and every pair of them is a case. Messages
+are summed by variant before they meet, so no record's candidates are paired with each other. Records
+with equal attributes are compared once.
 
-Every record is compared in Arrow batches of Python, as names, strengths and ingredients need more than
-equality; messages and candidates are plain joins and aggregations.
+Every candidate is compared in Arrow batches of Python, as names, strengths and ingredients need more
+than equality; messages and candidates are plain joins and aggregations.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
+import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rxloom.llm.names import _TAIL, BRANCHES, TRADE
@@ -46,7 +55,20 @@ _SALTS = frozenset(
 _STRENGTH = re.compile(r"(?<![\w])\d[\d,.]*\s*(?:mg|mcg|ug|µg|μg|g|gm|kg|ng|iu|i\.u\.|\[iu\]|k\[iu\]|million iu|international units|units|meq|mmol|%)(?:\s*(?:/|per)\s*(?:\d[\d.]*\s*)?(?:ml|g|l|dl|kg|mg|tablet|capsule|dose|each|ea|1|cc|gram))?(?![\w])", re.I)
 _UNIT = {u: (d, f) for u, d, f in FACTORS}
 
-STEPS, SETTLED, KEEP, PRIOR = 40, 1e-3, -6.0, -5.0
+STEPS, SETTLED, KEEP = 200, 1e-3, -6.0
+
+#: The levels of each attribute's comparison, with a first guess of their shares among pairs of one product
+#: and among unrelated ones; "none" (unknown on a side) speaks neither for nor against, "diff" is a contradiction.
+LEVELS = {
+    "branch": {"same": (0.998, 0.9), "diff": (0.002, 0.1)},
+    "maker": {"same": (0.6, 0.3), "close": (0.2, 0.1), "near": (0.1, 0.05), "cut": (0.098, 0.05), "diff": (0.002, 0.5)},
+    "name": {"same": (0.5, 0.1), "near": (0.2, 0.1), "generic": (0.268, 0.1), "mixed": (0.03, 0.1), "diff": (0.002, 0.6)},
+    "form": {"same": (0.998, 0.5), "diff": (0.002, 0.5)},
+    "ingredients": {"same": (0.9, 0.4), "coded": (0.068, 0.05), "partly": (0.03, 0.05), "diff": (0.002, 0.5)},
+    "strength": {"same": (0.998, 0.3), "diff": (0.002, 0.7)},
+}
+#: Share of contradictions in an attribute among pairs of one product; pairs by which first guesses are held.
+CONFLICT, GUESSED = 0.002, 20.0
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -171,58 +193,69 @@ def spl_features(row: dict) -> dict:
 
 def _features(named, words, more, forms, bases, uniis, strengths, said) -> dict:
     core, branch = maker(named)
+    amounts = sorted({s for _, s in strengths} | set(said))
     generic = bool(words) and all(any(alike(w, b) for b in bases) or w in _SALTS for w in words)
-    return {"maker": list(core), "branch": branch, "words": words, "more": more, "forms": sorted(forms), "bases": sorted(bases), "uniis": sorted(uniis), "strengths": sorted(map(list, strengths)), "said": sorted(set(said)), "generic": generic}
+    return {"maker": list(core), "branch": branch, "words": words, "more": more, "forms": sorted(forms), "bases": sorted(bases), "uniis": sorted(uniis), "strengths": sorted(map(list, strengths)), "said": sorted(set(said)), "amounts": amounts, "generic": generic}
 
 
 def keys_of(f: dict) -> list[str]:
-    """Pairs of partial attributes of which two records of one product share at least one."""
-    parts = sorted({b[:5] for b in f["bases"]} | set(f["uniis"]))
-    makers = [w[:6] for w in f["maker"]] + [w[-4:] for w in f["maker"]]
-    brand = [] if f["generic"] else [w[:5] for w in f["words"][:1]] + [w[-5:] for w in f["words"][:1]]
-    return sorted({f"m|{m}|{p}" for m in makers for p in parts} | {f"b|{b}|{p}" for b in brand for p in parts} | {f"x|{m}|{b}" for m in makers for b in brand})
-
-
-def _same_maker(a: list, b: list) -> float:
+    """Pairs of partial attributes, and whole brand names, of which two records of one product share at least one."""
+    whole = set(f["bases"]) | set(f["uniis"])
+    parts = {e for b in f["bases"] for e in (b[:5], b[-5:])} | set(f["uniis"])
+    words = [w for house in (f["maker"], f.get("house") or []) for w in house]
+    makers = {e for w in words for e in (w[:6], w[-4:])}
+    first = {e for w in f["words"][:1] for e in (w[:5], w[-5:])}
+    brand = set() if f["generic"] else first
+    keys = {f"m|{m}|{p}" for m in makers for p in parts} | {f"w|{w[:4]}|{p}" for w in words for p in whole} | {f"b|{b}|{p}" for b in brand for p in parts} | {f"x|{m}|{b}" for m in makers for b in first}
+    return sorted(keys | ({"n|" + "".join(f["words"] + f["more"])} if brand else set()))
+
+
+def _makers(a: list, b: list) -> str:
     if not a or not b:
-        return 0.0
+        return "none"
     if a == b:
-        return 3.0
+        return "same"
     x, y = "".join(a), "".join(b)
     if len(a) == 2 and len(b) == 2:
         crossed = min((edits(a[0], b[0], 2) + edits(a[1], b[1], 2)), (edits(a[0], b[1], 2) + edits(a[1], b[0], 2)))
         if crossed <= 4 and max(min(edits(p, q, 2) for q in b) for p in a) <= 2:
-            return 2.5 if crossed <= 2 else 1.5
+            return "close" if crossed <= 2 else "near"
         for p, q in ((0, 0), (0, 1), (1, 0), (1, 1)):
             m, n = a[1 - p], b[1 - q]
             if edits(a[p], b[q], 1) <= 1 and min(len(m), len(n)) >= 3 and (m.startswith(n) or n.startswith(m)):
-                return 2.0
-        return -9.0
+                return "cut"
+        return "diff"
     turned = "".join(reversed(b)) if len(b) == 2 else y
     around = "".join(reversed(a)) if len(a) == 2 else x
-    return 2.0 if min(edits(x, y, 2), edits(x, turned, 2), edits(around, y, 2)) <= 2 else -9.0
+    return "close" if min(edits(x, y, 2), edits(x, turned, 2), edits(around, y, 2)) <= 2 else "diff"
+
 
+def _maker(a: dict, b: dict) -> str:
+    """Also by the commonest spelling under the document's DUNS."""
+    said = [_makers(a["maker"], b["maker"])] + ([_makers(a["maker"], b["house"])] if b.get("house") else [])
+    return min(said, key=["same", "close", "near", "cut", "diff", "none"].index)
 
-def _aligned(a: dict, b: dict) -> float:
+
+def _ingredients(a: dict, b: dict) -> str:
     """Whether the active ingredients are the same, by name or by code."""
     n, m = len(a["bases"]), len(b["bases"])
     if not n or not m:
-        return 0.0
+        return "none"
     if n != m:
-        return -9.0
+        return "diff"
     codes_a, codes_b = a.get("codes", {}), b.get("codes", {})
     same = lambda x, y: alike(x, y) or (codes_a.get(x) is not None and codes_a.get(x) == codes_b.get(y))
     left = [x for x in a["bases"] if not any(same(x, y) for y in b["bases"])]
     right = [y for y in b["bases"] if not any(same(x, y) for x in a["bases"])]
     if not left and not right:
-        return 3.0
+        return "same"
     if n >= 2 and len(left) == len(right) == 1:
-        return 0.5  # one unknown name among others that agree speaks for little
+        return "partly"
     # names that nothing is known of: the records' codes must account for them
-    return 2.0 if len(set(a["uniis"]) & set(b["uniis"])) >= n else -9.0
+    return "coded" if len(set(a["uniis"]) & set(b["uniis"])) >= n else "diff"
 
 
-def _same_strength(a: dict, b: dict) -> float:
+def _strength(a: dict, b: dict) -> str:
     """Strengths of the same ingredient must not differ."""
     agree = 0
     for x, s in a["strengths"]:
@@ -230,56 +263,95 @@ def _same_strength(a: dict, b: dict) -> float:
         mine = {t for y, t in a["strengths"] if y == x}
         if theirs:
             if not (mine & theirs):
-                return -9.0
+                return "diff"
             agree += 1
     for one, other in ((a, b), (b, a)):
         whole = {t for _, t in other["strengths"]}
         if one["said"] and whole and len(other["strengths"]) >= len(other["bases"]) and not set(one["said"]) & whole:
-            return -9.0
+            return "diff"
     if a["said"] and b["said"]:
         if not set(a["said"]) & set(b["said"]) and not (len(a["bases"]) > 1):
-            return -9.0
+            return "diff"
         agree += bool(set(a["said"]) & set(b["said"]))
-    if not agree and (set(a["said"]) & {t for _, t in b["strengths"]} or set(b["said"]) & {t for _, t in a["strengths"]} or {t for _, t in a["strengths"]} & {t for _, t in b["strengths"]}):
-        agree = 1
-    return 2.0 if agree else 0.0
+    return "same" if agree or set(a["amounts"]) & set(b["amounts"]) else "none"
 
 
-def _same_name(a: dict, b: dict) -> float:
+def _name(a: dict, b: dict) -> str:
     if not a["words"] or not b["words"]:
-        return 0.5
+        return "none"
     if a["more"] == b["more"] and (a["generic"] or b["generic"]) and edits("".join(a["words"]), "".join(b["words"]), 2) <= 2:
-        return 3.0
+        return "near"
     if a["generic"] and b["generic"]:
-        return 2.0 if a["more"] == b["more"] else -9.0
+        return "generic" if a["more"] == b["more"] else "diff"
     if a["generic"] != b["generic"]:
-        return -3.0
+        return "mixed"
     if a["more"] != b["more"]:
         x, y = ("".join(f["words"] + f["more"]) for f in (a, b))
         if x == y:
-            return 4.0
+            return "same"
         # an extension with a slip of the pen is left among the words
-        return 3.0 if min(len(x), len(y)) >= 8 and max(len(a["words"]), len(b["words"])) > 1 and edits(x, y, 1) <= 1 else -9.0
+        return "near" if min(len(x), len(y)) >= 8 and max(len(a["words"]), len(b["words"])) > 1 and edits(x, y, 1) <= 1 else "diff"
     x, y = "".join(a["words"]), "".join(b["words"])
     if x == y:
-        return 4.0
-    return 3.0 if edits(x, y, 2) <= 2 and min(len(x), len(y)) >= 5 else -9.0
+        return "same"
+    return "near" if edits(x, y, 2) <= 2 and min(len(x), len(y)) >= 5 else "diff"
+
+
+def pattern(a: dict, b: dict) -> str:
+    """The levels of all attributes, in the order of LEVELS."""
+    branch = "none" if not a["maker"] or not b["maker"] else "same" if a["branch"] == b["branch"] else "diff"
+    form = "none" if not a["forms"] or not b["forms"] else "same" if set(a["forms"]) & set(b["forms"]) else "diff"
+    return "|".join((branch, _maker(a, b), _name(a, b), form, _ingredients(a, b), _strength(a, b)))
+
 
+def estimate(counts: dict[str, int], steps: int = 500) -> dict[str, float]:
+    """The log-odds of each pattern: expectation maximisation over the counts of patterns.
 
-def log_odds(a: dict, b: dict) -> float:
-    """Of two records being one product."""
-    if a["branch"] != b["branch"] and a["maker"] and b["maker"]:
-        return -20.0
-    form = 0.0 if not a["forms"] or not b["forms"] else 1.0 if set(a["forms"]) & set(b["forms"]) else -9.0
-    parts = (_same_maker(a["maker"], b["maker"]), _same_name(a, b), form, _aligned(a, b), _same_strength(a, b))
-    return PRIOR + sum(parts)
+    Kinds of pairs: "one" product; siblings, for each attribute those that contradict each other in it
+    (or would, were it known) and are like one product in the rest; "other". Attributes are taken as
+    independent within a kind. The number of patterns is bounded by the levels (at most 4860), so this
+    runs on the driver.
+    """
+    told = {p: dict(zip(LEVELS, p.split("|"))) for p in counts}
+    total = float(sum(counts.values()))
+    guessed = dict.fromkeys(LEVELS, 0.3 / len(LEVELS)) | {"one": 0.3, "other": 0.4}
+    share = guessed
+    alike_, apart = ({k: {level: guess[side] for level, guess in levels.items()} for k, levels in LEVELS.items()} for side in (0, 1))
+    odds: dict[str, float] = {}
+    for _ in range(steps):
+        belief, last, odds = {}, odds, {}
+        for p, levels in told.items():
+            fits = {k: 1.0 if level == "none" else alike_[k][level] for k, level in levels.items()}
+            whole = math.prod(fits.values())
+            weight = {k: share[k] * whole / fits[k] if levels[k] in ("diff", "none") else 0.0 for k in LEVELS}
+            weight |= {"one": share["one"] * whole, "other": share["other"] * math.prod(1.0 if level == "none" else apart[k][level] for k, level in levels.items())}
+            against = sum(v for kind, v in weight.items() if kind != "one")
+            odds[p] = math.log(weight["one"] / against)
+            belief[p] = {kind: v / (weight["one"] + against) for kind, v in weight.items()}
+        if last and max(abs(odds[p] - last[p]) for p in odds) < 1e-4:
+            break
+        share = {kind: (sum(n * belief[p][kind] for p, n in counts.items()) + GUESSED * guessed[kind]) / (total + GUESSED) for kind in guessed}
+        for k, levels in LEVELS.items():
+            near, far = ({level: GUESSED * guess[side] for level, guess in levels.items()} for side in (0, 1))
+            for p, n in counts.items():
+                level = told[p][k]
+                if level != "none":
+                    far[level] += n * belief[p]["other"]
+                    near[level] += n * (1 - belief[p]["other"] - belief[p][k])
+            agreed = sum(v for level, v in near.items() if level != "diff")
+            alike_[k] = {level: CONFLICT if level == "diff" else (1 - CONFLICT) * v / agreed for level, v in near.items()}
+            apart[k] = {level: v / sum(far.values()) for level, v in far.items()}
+    return odds
+
+
+_PREPARED = "id long, features string, keys array<long>, amounts array<string>, forms array<string>, more string, branch string"
 
 
 def _featured(kind: str):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [(label_features if kind == "label" else spl_features)(r) for r in batch.to_dict("records")]
-            yield pd.DataFrame({"id": batch["id"], "features": [json.dumps(f, sort_keys=True) for f in made], "bases": [f["bases"] for f in made]})
+            yield pd.DataFrame({"id": batch["id"], "features": [json.dumps(f, sort_keys=True) for f in made], "bases": [f["bases"] for f in made], "maker": [" ".join(f["maker"]) or None for f in made], "duns": batch["duns"]})
 
     return work
 
@@ -299,72 +371,97 @@ def substance_codes(labels: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def _prepared(scratch: Scratch, records: DataFrame, kind: str, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, rep) of all records, and (id, features, keys) of one record for each set of attributes."""
-    made, _ = scratch.keep(records.mapInPandas(_featured(kind), "id long, features string, bases array<string>"))
-    own = F.xxhash64("features")
-    reps, _ = scratch.keep(made.groupBy(own.alias("h")).agg(F.min("id").alias("rep")))
-    members, _ = scratch.keep(made.select("id", own.alias("h")).join(reps, "h").select("id", "rep"))
-    first = made.join(members.where("id = rep").select("id"), "id")
+    """(id, rep) of all records, and _PREPARED of one record for each set of attributes.
+
+    A record's house is the commonest maker's name among the records with its DUNS (then the least)."""
+    made, _ = scratch.keep(records.mapInPandas(_featured(kind), "id long, features string, bases array<string>, maker string, duns string"))
+    named = made.where("duns is not null and maker is not null").groupBy("duns", "maker").agg(F.count("*").alias("n"))
+    house = named.groupBy("duns").agg(F.min_by("maker", F.struct(-F.col("n"), "maker")).alias("house"))
+    housed, _ = scratch.keep(made.join(house, "duns", "left").select("id", "features", "bases", "house", F.xxhash64("features", "house").alias("h")))
+    reps, _ = scratch.keep(housed.groupBy("h").agg(F.min("id").alias("rep")))
+    members, _ = scratch.keep(housed.select("id", "h").join(reps, "h").select("id", "rep"))
+    first = housed.join(members.where("id = rep").select("id"), "id")
     told = first.select("id", F.explode("bases").alias("base")).join(codes, "base").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("base", "code"))).alias("codes"))
-    whole = first.join(told, "id", "left").select("id", "features", F.to_json("codes").alias("codes"))
-    kept, _ = scratch.keep(whole.mapInPandas(_keyed, "id long, features string, keys array<long>"))
+    whole = first.join(told, "id", "left").select("id", "features", "house", F.to_json("codes").alias("codes"))
+    kept, _ = scratch.keep(whole.mapInPandas(_keyed, _PREPARED))
     return members, kept
 
 
 def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        made = [json.loads(f) | {"codes": json.loads(c) if c else {}} for f, c in zip(batch["features"], batch["codes"])]
+        made = [json.loads(f) | {"codes": json.loads(c) if c else {}, "house": h.split() if h else []} for f, c, h in zip(batch["features"], batch["codes"], batch["house"])]
         keys = [[int.from_bytes(hashlib.blake2b(k.encode(), digest_size=8).digest(), "little", signed=True) for k in keys_of(f)] for f in made]
-        yield pd.DataFrame({"id": batch["id"], "features": [json.dumps(f) for f in made], "keys": keys})
+        yield pd.DataFrame({
+            "id": batch["id"], "features": [json.dumps(f) for f in made], "keys": keys, "amounts": [f["amounts"] for f in made], "forms": [f["forms"] for f in made],
+            "more": [" ".join(f["more"]) if f["words"] else None for f in made], "branch": [f["branch"] if f["maker"] else None for f in made],
+        })
 
 
-def _judged(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str, rest: list[str]) -> DataFrame:
-    """Adds w, the log-odds of the records named by the columns a and b."""
-    one = pairs.join(left.select(F.col("id").alias(a), F.col("features").alias("fa")), a).join(right.select(F.col("id").alias(b), F.col("features").alias("fb")), b)
-    names = [a, b, *rest]
+def _compared(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """a, b, pattern of the records named by pairs (a, b)."""
+    one = pairs.join(left.select(F.col("id").alias("a"), F.col("features").alias("fa")), "a").join(right.select(F.col("id").alias("b"), F.col("features").alias("fb")), "b")
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = lru_cache(20_000)(json.loads)
         for batch in batches:
-            batch["w"] = [log_odds(read(x), read(y)) for x, y in zip(batch["fa"], batch["fb"])]
-            yield batch[[*names, "w"]]
+            batch["pattern"] = [pattern(read(x), read(y)) for x, y in zip(batch["fa"], batch["fb"])]
+            yield batch[["a", "b", "pattern"]]
+
+    return one.select("a", "b", "fa", "fb").mapInPandas(compare, "a long, b long, pattern string")
+
+
+_VARIANT = ["amounts", "forms", "more", "branch"]
+
+
+def _variants(prepared: DataFrame) -> DataFrame:
+    """id, v and _VARIANT: records that could be one product as far as these go have the same v, or compatible ones."""
+    return prepared.select("id", F.xxhash64(*_VARIANT).alias("v"), *_VARIANT)
+
+
+def _contradict(x: str, y: str) -> Column:
+    of = lambda c: (F.col(f"{x}.{c}"), F.col(f"{y}.{c}"))
+    apart = lambda c: (F.size(of(c)[0]) > 0) & (F.size(of(c)[1]) > 0) & ~F.arrays_overlap(*of(c))
+    return apart("amounts") | apart("forms") | F.coalesce(of("more")[0] != of("more")[1], F.lit(False)) | F.coalesce(of("branch")[0] != of("branch")[1], F.lit(False))
 
-    return one.select(*names, "fa", "fb").mapInPandas(score, ", ".join(f"{n} long" for n in names) + ", w double")
 
+def rivals(pairs: DataFrame, record: str, variant: str, variants: DataFrame) -> DataFrame:
+    """record, x, y (both ways): variants among a record's candidates that contradict each other.
 
-def _rivals(pairs: DataFrame, record: str, other: str, features: DataFrame) -> DataFrame:
-    """record, x, y (both ways): candidates of a record that can't be one product."""
-    one = pairs.select(record, F.col(other).alias("x"))
-    both = one.join(one.select(record, F.col("x").alias("y")), record).where("x < y")
-    told, _ = Scratch(pairs.sparkSession).keep(_judged(both.select("x", "y").distinct(), features, features, "x", "y", []).where("w < 0").select("x", "y"))
-    apart = both.join(told, ["x", "y"])
+    A record's candidates are first reduced to their distinct variants, however many they are."""
+    held = pairs.select(record, F.col(variant).alias("v")).distinct()
+    known = variants.select("v", *_VARIANT).dropDuplicates(["v"])
+    met = held.alias("p").join(held.alias("q"), record).where("p.v < q.v").select(record, F.col("p.v").alias("x"), F.col("q.v").alias("y"))
+    ask = met.select("x", "y").distinct().join(known.select(F.col("v").alias("x"), F.struct(*_VARIANT).alias("one")), "x").join(known.select(F.col("v").alias("y"), F.struct(*_VARIANT).alias("two")), "y")
+    apart = met.join(ask.where(_contradict("one", "two")).select("x", "y"), ["x", "y"])
     return apart.select(record, "x", "y").unionByName(apart.select(record, F.col("y").alias("x"), F.col("x").alias("y")))
 
 
 def propagate(spark: SparkSession, pairs: DataFrame, rivals_a: DataFrame, rivals_b: DataFrame, steps: int = STEPS, settled: float = SETTLED) -> DataFrame:
-    """a, b, confidence of pairs (a, b, w): marginals under the factors of a's and b's rivals.
+    """a, b, confidence of pairs (a, b, va, vb, w): marginals under the factors of a's and b's rivals.
 
-    Message of a about (a, b): odds / (1 + the sum of the messages to a of b's rivals); the same from b.
-    A pair without rivals has its own odds as marginal. Written at each step, and damped by half after two;
-    it ends when no message changes by more than the share `settled`.
+    va and vb are the variants of a and b, rivals_a (a, x, y) those among a's candidates that exclude each
+    other. Message of a about (a, b): odds / (1 + the sum of the messages to a of b's rivals); the same
+    from b. A pair without rivals has its own odds as marginal. Written at each step, damped by half after
+    two and more the longer it takes; it ends when no message changes by more than the share `settled`.
+    If that isn't so after `steps`, a warning says by how much they still change.
     """
     scratch = Scratch(spark)
     odds = F.exp(F.least(F.greatest(F.col("w"), F.lit(-20.0)), F.lit(20.0)))
-    whole, _ = scratch.keep(pairs.select("a", "b", odds.alias("t")))
-    ra, _ = scratch.keep(rivals_a.select("a", F.col("x").alias("b"), F.col("y").alias("o")))
-    rb, _ = scratch.keep(rivals_b.select("b", F.col("x").alias("a"), F.col("y").alias("o")))
+    whole, _ = scratch.keep(pairs.select("a", "b", "va", "vb", odds.alias("t")))
+    ra, _ = scratch.keep(rivals_a.select("a", F.col("x").alias("vb"), F.col("y").alias("o")))
+    rb, _ = scratch.keep(rivals_b.select("b", F.col("x").alias("va"), F.col("y").alias("o")))
     # only pairs with a rival take part in the messages
-    touched, _ = scratch.keep(ra.select("a", "b").unionByName(rb.select("a", "b")).distinct())
+    touched, _ = scratch.keep(whole.join(ra.select("a", "vb").distinct(), ["a", "vb"], "left_semi").select("a", "b").unionByName(whole.join(rb.select("b", "va").distinct(), ["b", "va"], "left_semi").select("a", "b")).distinct())
     held, path = scratch.keep(whole.join(touched, ["a", "b"], "left_semi").withColumn("ma", F.col("t")).withColumn("mb", F.col("t")))
     confidence = (F.col("ma") * F.col("mb") / F.col("t")) / (1 + F.col("ma") * F.col("mb") / F.col("t"))
     if not held.isEmpty():
         for n in range(steps):
-            old = 0.0 if n < 2 else 0.5
+            old = 0.0 if n < 2 else 0.5 if n < 40 else 0.8
             mix = lambda c, s: (F.col(c) * old + F.col("t") / (1 + F.coalesce(s, F.lit(0.0))) * (1 - old)).alias(c)  # noqa: B023, E731
-            to_a = ra.join(held.select("a", F.col("b").alias("o"), F.col("mb").alias("m")), ["a", "o"]).groupBy("a", "b").agg(F.sum("m").alias("sa"))
-            to_b = rb.join(held.select("b", F.col("a").alias("o"), F.col("ma").alias("m")), ["b", "o"]).groupBy("a", "b").agg(F.sum("m").alias("sb"))
-            moved = held.join(to_a, ["a", "b"], "left").join(to_b, ["a", "b"], "left").select(
-                "a", "b", "t", mix("ma", "sa"), mix("mb", "sb"), F.col("ma").alias("wa"), F.col("mb").alias("wb")
+            to_a = ra.join(held.groupBy("a", F.col("vb").alias("o")).agg(F.sum("mb").alias("m")), ["a", "o"]).groupBy("a", "vb").agg(F.sum("m").alias("sa"))
+            to_b = rb.join(held.groupBy("b", F.col("va").alias("o")).agg(F.sum("ma").alias("m")), ["b", "o"]).groupBy("b", "va").agg(F.sum("m").alias("sb"))
+            moved = held.join(to_a, ["a", "vb"], "left").join(to_b, ["b", "va"], "left").select(
+                "a", "b", "va", "vb", "t", mix("ma", F.col("sa")), mix("mb", F.col("sb")), F.col("ma").alias("wa"), F.col("mb").alias("wb")
             )
             ahead, at = scratch.keep(moved)
             apart = F.greatest(F.abs(F.log(F.col("ma") / F.col("wa"))), F.abs(F.log(F.col("mb") / F.col("wb"))))
@@ -373,6 +470,8 @@ def propagate(spark: SparkSession, pairs: DataFrame, rivals_a: DataFrame, rivals
             held, path = ahead.drop("wa", "wb"), at
             if change is None or change < settled:
                 break
+        else:
+            warnings.warn(f"after {steps} rounds messages still change by a share of {change:.3g}", stacklevel=2)
     alone = whole.join(touched, ["a", "b"], "left_anti").select("a", "b", (F.col("t") / (1 + F.col("t"))).alias("confidence"))
     return held.select("a", "b", confidence.alias("confidence")).unionByName(alone)
 
@@ -384,14 +483,20 @@ def match_products(spark: SparkSession, labels: DataFrame, documents: DataFrame)
     speak neither for nor against a pair. Without candidates the result is empty.
     """
     scratch = Scratch(spark)
-    left = labels.select(F.col("record_id").alias("id"), "brand_name", "generic_name", "manufacturer_name", "substance_name", "unii", "raw").where("id is not null").dropDuplicates(["id"])
-    right = documents.select(F.col("document_id").alias("id"), "product_name", "dosage_form", "manufacturer_name", "ingredients").where("id is not null").dropDuplicates(["id"])
+    digits = F.nullif(F.regexp_replace("manufacturer_duns", r"\D", ""), F.lit(""))
+    left = labels.select(F.col("record_id").alias("id"), "brand_name", "generic_name", "manufacturer_name", "substance_name", "unii", "raw", F.lit(None).cast("string").alias("duns")).where("id is not null").dropDuplicates(["id"])
+    right = documents.select(F.col("document_id").alias("id"), "product_name", "dosage_form", "manufacturer_name", "ingredients", digits.alias("duns")).where("id is not null").dropDuplicates(["id"])
     codes, _ = scratch.keep(substance_codes(labels, documents))
     members_a, fa = _prepared(scratch, left, "label", codes)
     members_b, fb = _prepared(scratch, right, "spl", codes)
     key = lambda df, c: df.select(F.col("id").alias(c), F.explode("keys").alias("k"))
     met, _ = scratch.keep(key(fa, "a").join(key(fb, "b"), "k").select("a", "b").distinct())
-    pairs, _ = scratch.keep(_judged(met, fa, fb, "a", "b", []).where(F.col("w") > KEEP))
-    sure = propagate(spark, pairs, _rivals(pairs, "a", "b", fb), _rivals(pairs, "b", "a", fa))
+    compared, _ = scratch.keep(_compared(met, fa, fb))
+    odds = estimate({r[0]: r[1] for r in compared.groupBy("pattern").count().collect()})  # one row a pattern
+    worth = F.broadcast(spark.createDataFrame(list(odds.items()), "pattern string, w double"))
+    va, vb = _variants(fa), _variants(fb)
+    likely = compared.join(worth, "pattern").where(F.col("w") > KEEP)
+    pairs, _ = scratch.keep(likely.join(va.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(vb.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b").select("a", "b", "va", "vb", "w"))
+    sure = propagate(spark, pairs, rivals(pairs, "a", "vb", vb), rivals(pairs, "b", "va", va))
     whole = sure.join(members_a.select(F.col("rep").alias("a"), F.col("id").alias("record_id")), "a").join(members_b.select(F.col("rep").alias("b"), F.col("id").alias("document_id")), "b")
     return whole.select("record_id", "document_id", "confidence")
