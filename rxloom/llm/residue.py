@@ -11,7 +11,8 @@ Everything is a JVM-side expression over one row: no shuffle, no Python. Three j
   sentences or lines must be of that kind (density), so texts that merely speak of errors don't count.
 
 Null, empty and blank texts are no cases. Texts of any length are read whole: all patterns are
-bounded or possessive, so that no match needs backtracking over the text.
+bounded or possessive, so that no match needs backtracking over the text. Each grammar is tried only
+where the literal that every match of it holds (a delimiter, a word) occurs, which is found first.
 """
 
 from __future__ import annotations
@@ -23,31 +24,24 @@ from pyspark.sql import functions as F
 _FIELD = r"[A-Za-z][\w.\-]{0,40}(?: [\w.\-]{1,30}){0,3}"
 _TAG = r"(?!/?(?:p|br|b|i|u|em|strong|div|span|a|ul|ol|li|table|tr|td|th|thead|tbody|h[1-6]|sup|sub|img|hr|body|html|head|title|noscript|script|style|pre|code|section|nav|footer|header|main|small|font|center|blockquote|dl|dt|dd|form|input|button|label|meta|link)\b)"
 
-#: One grammar for each kind of delimiter.
-PLACEHOLDERS = [
-    r"\{\{[^{}]{1,90}\}\}",
-    r"[$#]\{[^{}]{1,60}\}",
-    rf"(?<![\w{{$#%])\{{ ?{_FIELD} ?\}}(?!\}})",
-    r"\{%[^%]{1,90}%\}",
-    r"<%[^%]{1,90}%>",
-    r"\[\[[^\[\]]{1,60}\]\]",
-    rf"<<\s?{_FIELD}\s?>>",
-    rf"<{_TAG}[A-Za-z][\w.\-]{{0,40}}(?: [\w.\-]{{1,30}})?(?: goes here| here)?>",
-    rf"&lt;\s?{_FIELD}\s?&gt;",
-    r"«[A-Za-z][\w.\-]{0,40}(?: [\w.\-]{1,30})?»",
-    r"(?<!\d)%[A-Za-z][A-Za-z]{1,30}(?:[_.][A-Za-z]{1,20}){0,4}%",
-    r"%\([A-Za-z][\w. ]{0,40}\)[sdfi]",
-    r"(?<!\w)__[A-Za-z][A-Za-z.]{0,30}(?:[_ ][A-Za-z.]{1,30}){0,4}__(?!\w)",
-    r"_{5,}",
-    r"@@[A-Za-z][\w. ]{0,40}@@",
-    r"\$[A-Za-z][A-Za-z]{1,30}(?:[_.][A-Za-z]{1,20}){0,4}\$",
-    r"(?i:\[(?:insert|enter|add|tbd|tbc|todo|fill in|your|placeholder|to be)\b[^\[\]]{0,60}\])",
-    r"\[[A-Za-z]{2,30}(?:[_.][A-Za-z0-9]{1,20}){1,4}\]",
-    rf"(?i:\((?:enter|insert|fill in|type|add)(?: the| your)? {_FIELD}\))",
-    r"(?i:\([^()]{0,60}\bto be (?:filled in|filled|completed|inserted|supplied|determined)\b[^()]{0,20}\)?)",
-    r"\b(?:TBD|TBC|TODO|FIXME):",
-    r"\bX{4,}\b",
-]
+#: Grammars for each kind of delimiter, by a literal that every match holds.
+PLACEHOLDERS = {
+    "{": [r"\{\{[^{}]{1,90}\}\}", r"[$#]\{[^{}]{1,60}\}", rf"(?<![\w{{$#%])\{{ ?{_FIELD} ?\}}(?!\}})", r"\{%[^%]{1,90}%\}"],
+    "<%": [r"<%[^%]{1,90}%>"],
+    "<": [rf"<<\s?{_FIELD}\s?>>", rf"<{_TAG}[A-Za-z][\w.\-]{{0,40}}(?: [\w.\-]{{1,30}})?(?: goes here| here)?>"],
+    "&lt;": [rf"&lt;\s?{_FIELD}\s?&gt;"],
+    "«": [r"«[A-Za-z][\w.\-]{0,40}(?: [\w.\-]{1,30})?»"],
+    "[": [r"\[\[[^\[\]]{1,60}\]\]", r"(?i:\[(?:insert|enter|add|tbd|tbc|todo|fill in|your|placeholder|to be)\b[^\[\]]{0,60}\])", r"\[[A-Za-z]{2,30}(?:[_.][A-Za-z0-9]{1,20}){1,4}\]"],
+    "%": [r"(?<!\d)%[A-Za-z][A-Za-z]{1,30}(?:[_.][A-Za-z]{1,20}){0,4}%", r"%\([A-Za-z][\w. ]{0,40}\)[sdfi]"],
+    "__": [r"(?<!\w)__[A-Za-z][A-Za-z.]{0,30}(?:[_ ][A-Za-z.]{1,30}){0,4}__(?!\w)", r"_{5,}"],
+    "@@": [r"@@[A-Za-z][\w. ]{0,40}@@"],
+    "$": [r"\$[A-Za-z][A-Za-z]{1,30}(?:[_.][A-Za-z]{1,20}){0,4}\$"],
+    "(": [rf"(?i:\((?:enter|insert|fill in|type|add)(?: the| your)? {_FIELD}\))", r"(?i:\([^()]{0,60}\bto be (?:filled in|filled|completed|inserted|supplied|determined)\b[^()]{0,20}\)?)"],
+    "TB": [r"\bTB[DC]:"],
+    "TODO:": [r"\bTODO:"],
+    "FIXME:": [r"\bFIXME:"],
+    "XXXX": [r"\bX{4,}\b"],
+}
 
 #: The words of the customary pseudo-Latin filler.
 LATIN = (
@@ -114,15 +108,28 @@ _NOTICE = [
     r"loading ?(?:…|\.\.\.)|if nothing happens",
     r"(?:content|page|label|leaflet) (?:cannot|can not|can't|could not) be (?:displayed|shown|loaded|opened)|you need to enable|<noscript>",
     r"page introuvable|erreur\b[^.]{0,30}(?:serveur|page|chargement)|accès (?:refusé|interdit)|service (?:momentanément )?indisponible|la page (?:demandée|que)",
-    r"error al (?:cargar|abrir|conectar)|página no (?:encontrada|disponible)|acceso denegado|no se (?:pudo|puede) (?:cargar|mostrar|abrir|encontrar)|servicio no disponible|la página (?:solicitada|que)|active este sitio",
+    r"error al (?:cargar|abrir|conectar)|página no (?:encontrada|disponible)|acceso denegado|no se (?:pudo|puede) (?:cargar|mostrar|abrir|encontrar)|servicio no disponible|la página (?:solicitada|que)|(?:active|habilite) (?:este|el) (?:sitio|navegador)",
     r"die (?:angeforderte )?seite (?:wurde nicht|konnte nicht|existiert|ist nicht)|zugriff verweigert|seite nicht gefunden|(?:der )?(?:dienst|server) (?:ist )?(?:derzeit |vorübergehend )?nicht (?:verfügbar|erreichbar)|fehler beim laden|javascript aktivieren",
 ]
 
+#: Any text with such a sentence or a stack trace holds one of these at the start of a word, or a match of _HINT.
+_HINTS = (
+    "status|fehler|erreur|http|on this s|sorry|oops|whoops|uh-oh|having trouble|went wrong|something occurred|something has occurred|problem occurred|problem has occurred|unexpected|not found|not be found|not be located|"
+    "no longer exists|does not exist|has moved|unavailable|be displayed|the requested|denied|forbidden|unauthori|permission|not allowed|not authori|down for|offline|overloaded|under maintenance|busy|bad gateway|gateway time|"
+    "request time|bad request|too many|rate limit|can't |unable to|failed to|connection|no response|timed out|session|sign in|log in|traceback|stack trace|stacktrace|warning: |caused by|javascript|cookie|browser|"
+    "verify you|confirm you|prove you|check you|verify that you|confirm that you|prove that you|check that you|are you human|are you a |are you robot|checking |captcha|robot|loading|nothing happens|be shown|be loaded|be opened|"
+    "to enable|noscript|introuvable|refusé|interdit|indisponible|la page|no encontrada|no disponible|denegado|no se pudo |no se puede |la página|active este|active el |habilite |seite|verweigert|verfügbar|erreichbar|during handling"
+).split("|")
+_HINT = (
+    rf"\b(?:{_trie(_HINTS)}|(?:(?:can|could|did) ?)?not ?(?:connect|load|reach|open|display|complete|render|fetch)|(?:js|scripts?|scripting)\b)|error|exception|\{{|\.\.\. \d+ more|"
+    r"(?:^|[.!?…;:]\s|[\r\n])[^\w{<]{0,6}[45]\d\d [a-z'-]|(?m:^)\s*at [\w.$<>/]{1,200}\("
+)
+
 #: Sentences that go with an error page, but could stand elsewhere.
 _ALONG = [
     r"please (?:go back|try|reload|contact|return|wait|refresh|check|come back|sign|log)", r"try (?:again|once more)|go back", r"return to the|contact the (?:site|system|administrator|webmaster|help)",
-    r"wait \d+ (?:second|minute)", r"request id|incident|reference|error id|trace id|type status|message /|description the|(?:ref|code)\b", r"our team has been", r"label lookups resume|(?:we|it) (?:will|should) be back|back (?:soon|at)",
-    r"(?:turn|switch) (?:it|them) on", r"(?:change|check) (?:the|your) (?:settings|connection|spelling|address|url)", r"cookies and scripting|reload", r"sign in again|log in again", r"file \"|section = |keyerror|at [\w.$]+\(", r"la notice|die |le |la |el |por favor|veuillez|bitte|vuelva|retour|zurück",
+    r"wait \d+ (?:second|minute)", r"request id|incident|reference|error id|trace id|type status|message /|description the|(?:ref|code)\b", r"our team has been", r"(?:[\w-]+ ){0,3}(?:will )?resumes? (?:at|on|in|soon|shortly)\b|(?:we|it) (?:will|should) be back|back (?:soon|at)",
+    r"(?:turn|switch) (?:it|them) on", r"(?:change|check) (?:the|your) (?:settings|connection|spelling|address|url)", r"reload", r"sign in again|log in again", r"file \"|\w+ = |\w+error\b|at [\w.$]+\(", r"la notice|die |le |la |el |por favor|veuillez|bitte|vuelva|retour|zurück",
 ]
 
 #: Lines of a page around its content.
@@ -136,7 +143,12 @@ _CODE = (
 )
 _INLINE = r"(`{1,2})(?!`)[^`]++\1"
 #: Wording around a placeholder that explains it: certain, or a word for placeholders with one that defines.
-_EXPLAINS = r"(?i)\b(?:(?:is|are|gets?) (?:then |later |always |automatically )?(?:replaced|substituted|expanded|interpolated)\b|stands? for\b|expands? (?:in)?to\b)"
+_EXPLAINS = (
+    r"(?i)\b(?:(?:is|are|gets?) (?:then |later |always |automatically )?(?:replaced|substituted|expanded|interpolated)\b|stands? for\b|expands? (?:in)?to\b|"
+    r"(?:shell|bash|batch|build) scripts?\b|command line\b|environment variables?\b|config(?:uration)? files?\b|source code\b)"
+)
+#: Wording by which a text says that it teaches how to write templates.
+_TUTORIAL = r"(?i)\btutorials?\b|\btemplate (?:guides?|documentation|reference|manual)\b|\bhow to (?:use|write|fill|create|define)(?: in)?(?: an?| the| your)?(?: [\w-]{1,20})? (?:templates?|placeholders?|merge fields?|merge tags?|variables?)\b"
 _SPEAKS_OF = r"(?i)\b(?:placeholders?|template (?:syntax|variables?|fields?|engines?|languages?)|merge (?:fields?|tags?)|variables?|syntax|braces|delimiters?)\b"
 _DEFINES = r"(?i)\b(?:means?|denotes?|for example|e\.g|such as|like|looks?|(?:is|are) (?:called|written|named|marked|used))\b"
 _MARKUP = r"(?i)</?(?:p|br|div|span|noscript|b|i|em|strong|h[1-6]|html|body|head|title|center)\s?/?>"
@@ -150,24 +162,38 @@ def _any(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+def _holds_any(text: Column, literals) -> Column:
+    held = F.lit(False)
+    for x in literals:
+        held = held | text.contains(x)
+    return held
+
+
+def _has_placeholder(text: Column) -> Column:
+    held = F.lit(False)
+    for literal, grammars in PLACEHOLDERS.items():
+        held = held | (text.contains(literal) & text.rlike(_any(grammars)))
+    return held
+
+
 def placeholder(text: Column) -> Column:
     """Whether an unfilled placeholder stands anywhere outside code, unless the text explains placeholders.
 
-    A sentence's placeholder is explained if it stands in inline code or among wording that explains
-    it. A text is no case where sentences that explain outnumber the others by more than two to one.
+    A sentence's placeholder is explained if it stands in inline code, among wording that explains it, or
+    in a text that says it teaches templates. A text is no case where sentences that explain outnumber
+    the others by more than two to one.
     """
-    any_of = _any(PLACEHOLDERS)
-    told = F.regexp_replace(text, _CODE, " ")
-    sentences = F.filter(F.split(told, r"(?<=[.!?])\s+|[\r\n]+"), lambda s: s.rlike(any_of))
+    any_of = _any([g for grammars in PLACEHOLDERS.values() for g in grammars])
+    told = F.when(_holds_any(text, ("```", "~~~", "<pre", "<code")), F.regexp_replace(text, _CODE, " ")).otherwise(text)
+    sentences = F.filter(F.split(told, r"(?<=[.!?])\s+|[\r\n]+"), _has_placeholder)
     around = lambda s: F.regexp_replace(s, any_of, " ")
     explains = lambda s: ~F.regexp_replace(s, _INLINE, " ").rlike(any_of) | around(s).rlike(_EXPLAINS) | (around(s).rlike(_SPEAKS_OF) & around(s).rlike(_DEFINES))
-    explained = F.size(F.filter(sentences, explains))
-    return F.when(told.rlike(any_of), explained <= 2 * (F.size(sentences) - explained)).otherwise(False)
+    explained = F.when(text.rlike(_TUTORIAL), F.size(sentences)).otherwise(F.size(F.filter(sentences, explains)))
+    return F.when(_has_placeholder(text), F.when(_has_placeholder(told), explained <= 2 * (F.size(sentences) - explained))).otherwise(False)
 
 
-def filler(text: Column) -> Column:
-    """Whether the text holds a passage of stand-in text."""
-    low = F.lower(text)
+def filler(low: Column) -> Column:
+    """Whether a text (in lower case) holds a passage of stand-in text."""
     held = low.rlike(r"\b(?:" + _any(_STANDS_IN) + ")")
     for p in _REPEATED:
         held = held | low.rlike(p)
@@ -179,20 +205,20 @@ def page_core(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, _CHROME, ""), r"(?s)^\s+|\s+$", ""))
 
 
-def error_page(text: Column) -> Column:
-    """Whether the whole text is an error page or a notice that scripts or checks are needed."""
+def error_page(text: Column, low: Column) -> Column:
+    """Whether the whole text (low: in lower case) is an error page or a notice that scripts or checks are needed."""
     core = page_core(text)
     bare = F.regexp_replace(core, _MARKUP, " ")
     sentences = F.filter(F.transform(F.split(bare, _LINK), lambda s: F.lower(F.trim(s))), lambda s: F.length(s) > 1)
     begins = lambda ps: "(?U)^[^\\w{<]{0,6}(?:" + _any(ps) + ")"
-    notice = F.size(F.filter(sentences, lambda s: s.rlike(begins(_NOTICE))))
-    along = F.size(F.filter(sentences, lambda s: s.rlike(begins(_ALONG))))
-    dense = (notice >= 1) & ((notice + along) * 2 >= F.size(sentences))
-    lines = F.filter(F.split(core, r"[\r\n]+"), lambda s: F.length(F.trim(s)) > 0)
-    count = lambda p: F.size(F.filter(lines, lambda s: s.rlike(p)))
-    traced = core.rlike("(?m)" + _TRACE) & ((count(_TRACE) + 2 * count(_FILE)) * 2 >= F.size(lines))
-    scripted = core.rlike(r"(?is)^<noscript>(?:(?!</noscript>).)*+</noscript>$")
-    return (F.length(core) > 0) & (dense | traced | scripted | F.lower(core).rlike("^\\{ ?\"error"))
+    kinds = F.transform(sentences, lambda s: F.when(s.rlike(begins(_NOTICE)), 2).when(s.rlike(begins(_ALONG)), 1).otherwise(0))
+    lines = F.transform(F.filter(F.split(core, r"[\r\n]+"), lambda s: F.length(F.trim(s)) > 0), lambda s: F.when(s.rlike(_TRACE), 1).when(s.rlike(_FILE), 2).otherwise(0))
+    judged = F.transform(F.array(F.struct(core.alias("core"), kinds.alias("kinds"), lines.alias("lines"))), lambda p: (F.length(p["core"]) > 0) & (
+        (F.array_contains(p["kinds"], 2) & (F.size(F.filter(p["kinds"], lambda k: k > 0)) * 2 >= F.size(p["kinds"])))
+        | (F.array_contains(p["lines"], 1) & (F.aggregate(p["lines"], F.lit(0), lambda n, k: n + k) * 2 >= F.size(p["lines"])))
+        | p["core"].rlike(r"(?is)^<noscript>(?:(?!</noscript>).)*+</noscript>$") | F.lower(p["core"]).rlike("^\\{ ?\"error")
+    ))
+    return F.when(low.rlike(_HINT), judged[0]).otherwise(False)
 
 
 def find_residue(docs: DataFrame) -> DataFrame:
@@ -201,7 +227,7 @@ def find_residue(docs: DataFrame) -> DataFrame:
     Extra columns are ignored. A doc_id that comes twice is judged by each of its rows.
     """
     text = F.col("text")
-    judged = docs.select("doc_id", "text").where(text.isNotNull() & (F.length(F.trim(text)) > 0)).select(
-        "doc_id", placeholder(text).alias("placeholder"), filler(text).alias("filler"), error_page(text).alias("error_page")
-    )
+    low = F.col("low")  # made once, in a projection of its own
+    held = docs.select("doc_id", "text", F.lower("text").alias("low")).where(text.isNotNull() & (F.length(F.trim(text)) > 0))
+    judged = held.select("doc_id", placeholder(text).alias("placeholder"), filler(low).alias("filler"), error_page(text, low).alias("error_page"))
     return judged.where("placeholder or filler or error_page")

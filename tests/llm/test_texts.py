@@ -105,6 +105,7 @@ def test_error_pages_of_any_length(spark):
 
 
 EXPLAINED = [
+    "Use ${HOME} in your shell script.", "This is a tutorial on letters.\nWrite {{name}} in the first line.\nWrite {{dose}} in the second.", "How to use merge fields. Put {{name}} first.",
     "In a letter {{name}} stands for the patient's name.", "The placeholder ${dose} is replaced by the dose when the label is printed.", "Put `{{name}}` at the head of the letter.", "A variable is written like {{name}} in this system.",
     "```\n" + "value = '{{name}}'\n" * 3_000 + "```\nshows a value.", "Example:\n```\nHello {{name}}\n", "<pre>" + "${dose} " * 5_000 + "</pre> ends.", "See <code>{{name}}", "Put `{{a}}` first.\nPut `{{b}}` next.\nPut `{{c}}` last.\nThe letter then begins with {{a}}.",
 ]
