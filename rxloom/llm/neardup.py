@@ -10,10 +10,13 @@ similarity of their words. With 64 bands of 9 a pair at similarity 0.8 is missed
 
 A bucket of a band is never expanded into all its pairs: each member is paired with the bucket's
 first, the links found are joined into groups, and only members of different groups of one bucket
-are paired after that. Links inside a group can't change it, so none that matters is lost. Exact
-copies are one text throughout.
+are paired after that, those whose sketches agree. Links inside a group can't change it, so none that
+matters is lost. Exact copies are one text throughout.
 
-Bands are shuffled as sorted arrays of short keys, about 7 bytes for each text and band.
+Bands are shuffled as sorted arrays of short keys, about 7 bytes for each text and band, in parts of
+PART_BYTES, whatever the size of the collection: each part is one task. A part that a frequent key makes
+larger is spread over several tasks by chunk; each pairs its members with its own first, and the firsts
+of one key are then paired with the first of all.
 """
 
 from __future__ import annotations
@@ -36,7 +39,10 @@ CHUNK = 1 << 15
 SKETCH_BITS = 128
 #: Of 128 one-bit coordinates a pair at similarity 0.8 agrees in 115 on average, sigma 3.4.
 SKETCH_AGREE = 92
-BROADCAST_IDS = 4_000_000
+#: Ids up to so many are broadcast (16 MB), more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Bytes of keys that one task gathers and sorts; beyond SPREAD times as much a part is spread.
+PART_BYTES, SPREAD = 12 << 20, 2
 SEED = 20240229
 
 
@@ -157,17 +163,19 @@ def _signer(bands: int, rows: int, parts: int, key_bytes: int):
 
 def _bucketer(key_bytes: int):
     """Per partition of keys: ('pair', a, b) of each bucket's first with every other, and, of buckets
-    of more than two, ('member', bucket, sid) for the second pass. Equal buckets are given once."""
+    of more than two, ('member', bucket, sid) for the second pass. Equal buckets are given once. Of a
+    spread part also ('head', key, first), and ('spread', key, sid) of all members."""
 
     def bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, sids = [], []
+        keys, sids, spread = [], [], False
         for batch in batches:
-            for base, raw, ordinals in zip(batch["base"], batch["keys"], batch["ordinals"]):
+            for base, raw, ordinals, part in zip(batch["base"], batch["keys"], batch["ordinals"], batch["spread"]):
                 low = np.frombuffer(raw, np.uint8).reshape(-1, key_bytes)
                 key = np.zeros((len(low), 8), np.uint8)
                 key[:, :key_bytes] = low
                 keys.append(key.view("<u8").ravel())
                 sids.append(np.frombuffer(ordinals, "<u2").astype(np.int64) + int(base))
+                spread = bool(part)
         if not keys:
             return
         key, sid = np.concatenate(keys), np.concatenate(sids)
@@ -176,6 +184,9 @@ def _bucketer(key_bytes: int):
         key, sid = key[same], sid[same]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
+        if spread:
+            yield pd.DataFrame({"kind": "head", "a": key[starts].astype(np.int64), "b": sid[starts]})
+            yield pd.DataFrame({"kind": "spread", "a": key.astype(np.int64), "b": sid})
         several = sizes > 1
         starts, sizes = starts[several], sizes[several]
         if not len(starts):
@@ -187,7 +198,7 @@ def _bucketer(key_bytes: int):
         pairs = np.unique(np.stack([first[other], member[other]], 1), axis=0)
         yield pd.DataFrame({"kind": "pair", "a": pairs[:, 0], "b": pairs[:, 1]})
         big = np.repeat(sizes > 2, sizes)
-        if big.any():
+        if big.any() and not spread:
             # a bucket is named by a hash of its members, so that equal ones come once
             with np.errstate(over="ignore"):
                 sums = np.add.reduceat(_mix(member.astype(np.uint64) + np.uint64(1)), np.r_[0, np.cumsum(sizes)[:-1]])
@@ -198,6 +209,24 @@ def _bucketer(key_bytes: int):
     return bucket
 
 
+def _placed(chunks: DataFrame, parts: int, part_bytes: int) -> DataFrame:
+    """The chunks of each part (pid) in one partition, of a large one in several, by their base.
+
+    Only the large parts are named to all tasks: there are fewer of them than 1/SPREAD of the parts."""
+    sized = chunks.groupBy("pid").agg(F.sum(F.length("keys") + F.length("ordinals")).alias("bytes")).where(F.col("bytes") > SPREAD * part_bytes)
+    large = sized.withColumn("n", F.ceil(F.col("bytes") / part_bytes)).select("pid", "n").orderBy("pid").collect()
+    if not large:
+        return chunks.withColumn("spread", F.lit(False)).repartitionById(parts, F.col("pid"))
+    ahead, rows = parts, []
+    for r in large:
+        rows.append((r["pid"], ahead, r["n"]))
+        ahead += r["n"]
+    named = chunks.sparkSession.createDataFrame(rows, "pid int, start long, n long")
+    slot = F.when(F.col("start").isNull(), F.col("pid")).otherwise(F.col("start") + F.pmod(F.xxhash64("base"), F.col("n"))).cast("int")
+    marked = chunks.join(F.broadcast(named), "pid", "left").select("pid", "base", "keys", "ordinals", F.col("start").isNotNull().alias("spread"), slot.alias("slot"))
+    return marked.repartitionById(ahead, F.col("slot")).drop("slot")
+
+
 def _agreeing(a: str, b: str) -> Column:
     """How many bits two sketches (as four longs) share."""
     same = None
@@ -208,7 +237,7 @@ def _agreeing(a: str, b: str) -> Column:
 
 
 def near_duplicates(
-    spark: SparkSession, texts: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, parts: int | None = None, key_bytes: int = KEY_BYTES
+    spark: SparkSession, texts: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, parts: int | None = None, key_bytes: int = KEY_BYTES, part_bytes: int = PART_BYTES
 ) -> DataFrame:
     """id, group_id, links of every text (id, text) in a group of two or more; group_id is its smallest id.
 
@@ -217,7 +246,7 @@ def near_duplicates(
     one text count as one). Other columns are ignored. An empty table gives an empty result.
     """
     scratch = Scratch(spark)
-    parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or max(8, -(-texts.count() * bands * (key_bytes + 2) // part_bytes))
     source = texts.select(F.col("id").cast("long").alias("id"), "text").where("id is not null and text is not null")
     hashed = source.select("id", F.transform(distinct_words(F.col("text")), lambda x: F.xxhash64(x)).alias("hashes"))
     signed_at = f"{scratch.root}/signed"
@@ -226,23 +255,30 @@ def near_duplicates(
     word = lambda k: F.conv(F.substring(F.hex("sketch"), 1 + 16 * k, 16), 16, -10).cast("long").alias(f"s{k}")
     docs = signed.where("kind = 'doc'").select("sid", "id", "fp", "words", *(word(k) for k in range(SKETCH_BITS // 64)))
     owners = docs.groupBy("fp").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"))
-    chunks = signed.where("kind = 'band'").select("pid", "base", "keys", "ordinals").repartition(parts, "pid")
+    chunks = _placed(signed.where("kind = 'band'").select("pid", "base", "keys", "ordinals"), parts, part_bytes)
     buckets, _ = scratch.keep(chunks.mapInPandas(_bucketer(key_bytes), "kind string, a long, b long"))
+    # firsts of one key in several tasks; without spread parts these are empty
+    heads = buckets.where("kind = 'head'").select(F.col("a").alias("key"), F.col("b").alias("sid"))
+    across_tasks = heads.join(heads.groupBy("key").agg(F.min("sid").alias("first"), F.count("*").alias("n")).where("n > 1"), "key").where("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
+    spread = buckets.where("kind = 'spread'").select(F.xxhash64("a").alias("bucket"), F.col("b").alias("sid"))
+    wide = spread.join(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 2").select("bucket"), "bucket")
     sketches, _ = scratch.keep(
         docs.groupBy("sid").agg(F.min("fp").alias("fp"), F.min("words").alias("words"), *(F.min(f"s{k}").alias(f"s{k}") for k in range(SKETCH_BITS // 64))).join(owners.select("fp", "rep"), "fp").drop("fp")
     )
     scratch.drop(f"{signed_at}/kind=band")
 
+    held = F.struct("rep", "words", *(f"s{k}" for k in range(SKETCH_BITS // 64)))
+
+    def likely() -> Column:
+        """Of sketches x and y of different texts: they agree, and so do the numbers of words."""
+        return (F.col("x.rep") != F.col("y.rep")) & (F.least("x.words", "y.words") >= threshold * F.greatest("x.words", "y.words")) & (_agreeing("x", "y") >= SKETCH_AGREE)
+
+    def by_rep(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
+
     def thinned(pairs: DataFrame) -> DataFrame:
         """a, b (representatives' ids) of the pairs of sids whose sketches agree."""
-        held = F.struct("rep", "words", *(f"s{k}" for k in range(SKETCH_BITS // 64)))
-        one = pairs.join(sketches.select(F.col("sid").alias("a"), held.alias("x")), "a").join(sketches.select(F.col("sid").alias("b"), held.alias("y")), "b")
-        near = one.where(
-            (F.col("x.rep") != F.col("y.rep"))
-            & (F.least("x.words", "y.words") >= threshold * F.greatest("x.words", "y.words"))
-            & (_agreeing("x", "y") >= SKETCH_AGREE)
-        )
-        return near.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
+        return by_rep(pairs.join(sketches.select(F.col("sid").alias("a"), held.alias("x")), "a").join(sketches.select(F.col("sid").alias("b"), held.alias("y")), "b").where(likely()))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs whose words have the similarity, exactly. Only the texts in question are moved."""
@@ -250,23 +286,26 @@ def near_duplicates(
         wanted, _ = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         few = wanted.count() <= BROADCAST_IDS
         asked = source.dropDuplicates(["id"]) if not few else source.join(F.broadcast(wanted), "id", "left_semi").dropDuplicates(["id"])
-        left = pairs.join(asked.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        both = left.join(asked.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        common = both.select("a", "b", distinct_words(F.col("ta")).alias("wa"), distinct_words(F.col("tb")).alias("wb")).withColumn("n", F.size(F.array_intersect("wa", "wb")))
+        words = asked.select("id", F.transform(distinct_words(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))  # taken once a text, not once a pair
+        both = pairs.join(words.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+        common = both.withColumn("n", F.size(F.array_intersect("wa", "wb")))
         return common.where(F.col("n") >= threshold * (F.size("wa") + F.size("wb") - F.col("n")) - 1e-9).select("a", "b")
 
-    found, _ = scratch.keep(verified(thinned(buckets.where("kind = 'pair'").select("a", "b").distinct())))
+    found, _ = scratch.keep(verified(thinned(buckets.where("kind = 'pair'").select("a", "b").unionByName(across_tasks).distinct())))
     groups = connected_components(spark, found)
     # members of one bucket that are in different groups so far: every such pair is looked at
     grouped = (
-        buckets.where("kind = 'member'").select(F.col("a").alias("bucket"), F.col("b").alias("sid")).distinct()
+        buckets.where("kind = 'member'").select(F.col("a").alias("bucket"), F.col("b").alias("sid")).unionByName(wide).distinct()
         .join(sketches.select("sid", "rep"), "sid").join(groups.select(F.col("node").alias("rep"), F.col("component").alias("g")), "rep", "left")
         .select("bucket", "sid", F.coalesce("g", "rep").alias("g"))
     )
-    mixed = grouped.groupBy("bucket").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("bucket")
-    open_, _ = scratch.keep(grouped.join(mixed, "bucket"))
-    across = open_.alias("p").join(open_.alias("q"), "bucket").where("p.g < q.g").select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")).distinct()
-    also, _ = scratch.keep(verified(thinned(across)))
+    # every such pair has a member outside the bucket's largest group: these meet all, the largest group doesn't meet itself
+    sizes = grouped.groupBy("bucket", "g").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("g", F.struct("n", "g")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+    open_, _ = scratch.keep(grouped.join(sizes.select("bucket", "main"), "bucket"))
+    # a bucket's pairs are thinned where they arise
+    told = open_.join(sketches.select("sid", held.alias("h")), "sid").select("bucket", "g", "main", "h")
+    met = told.where("g <> main").select("bucket", F.col("g").alias("gx"), F.col("h").alias("x")).join(told.select("bucket", F.col("g").alias("gy"), F.col("h").alias("y")), "bucket")
+    also, _ = scratch.keep(verified(by_rep(met.where((F.col("gx") != F.col("gy")) & likely()))))
     links = found
     if not also.isEmpty():
         links, _ = scratch.keep(found.unionByName(also).distinct())

@@ -94,6 +94,8 @@ def test_near_duplicates(spark, seed):
     df = spark.createDataFrame([(i, t, "clash", 5) for i, t in rows], "id long, text string, fp string, sid long")
     got = neardup.near_duplicates(spark, df)
     assert {(x.id, x.group_id) for x in got.collect()} == brute_duplicates(rows)
+    spread = neardup.near_duplicates(spark, df.repartition(7), parts=3, part_bytes=512)  # every part in many tasks
+    assert {(x.id, x.group_id) for x in spread.collect()} == brute_duplicates(rows)
 
 
 def test_second_pass_finds_links_a_star_misses(spark):
@@ -102,6 +104,8 @@ def test_second_pass_finds_links_a_star_misses(spark):
     rows = [(k, " ".join(base[: 40 - k] + [f"c{i}" for i in range(k)])) for k in range(0, 40, 2)]
     df = spark.createDataFrame(rows, "id long, text string")
     got = neardup.near_duplicates(spark, df, bands=24, rows=2)
+    spread = neardup.near_duplicates(spark, df.repartition(5), bands=24, rows=2, parts=2, part_bytes=64)
+    assert {(x.id, x.group_id) for x in spread.collect()} == brute_duplicates(rows)
     assert {(x.id, x.group_id) for x in got.collect()} == brute_duplicates(rows)
 
 
