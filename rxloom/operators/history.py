@@ -4,7 +4,7 @@ Each attribute has its own change log with its own intervals. The logs are combi
 the union of their boundaries and coalescing neighbours with an equal state. All windows run over
 (entity, time bucket): an entity with more than ``hot_rows`` versions is cut into buckets of time,
 and the little that crosses a bucket's edge is carried over in one row per bucket. So no task holds
-a whole hot entity.
+a whole hot entity. Where there is none (counted first) all windows share one partitioning by entity.
 """
 
 from __future__ import annotations
@@ -54,6 +54,8 @@ def time_buckets(df: DataFrame, key: str, at: str, hot_rows: int = HOT_ROWS) ->
     """
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     counts = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    if counts.isEmpty():
+        return df.withColumn("hot", F.lit(False)).withColumn("bucket", F.lit(0))
     ranked = df.join(F.broadcast(counts), key).select(key, micros.alias("_t"), "_n")
     share = F.lit(float(hot_rows)) / F.col("_n")
     # cuts: approximate quantiles of a fixed fine grid, thinned to one for each hot_rows rows

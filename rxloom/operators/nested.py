@@ -2,7 +2,7 @@
 
 One depth-first visitor per record emits every node once, tagged with its table, with its own key
 and that of its parent. The tagged stream is written partitioned by tag; each table is then read
-back under its own schema. A record is visited where it was read: no shuffle before the emission.
+back under its own schema. Repeated deliveries of a record are dropped before the visit.
 """
 
 from __future__ import annotations
@@ -179,14 +179,14 @@ def _emitter(with_payload: bool, chunk: int = 20_000):
 
 
 def emit_nodes(records: DataFrame, payload: bool = True) -> DataFrame:
-    """The tagged nodes of ``records`` (record_id, raw; other columns are ignored), each once.
+    """The tagged nodes of ``records`` (record_id, raw; other columns are ignored).
 
     Null, empty and unreadable ``raw`` give no row, a null record_id none either. A record that was
-    delivered twice gives its nodes once: the repeats meet in one aggregation of the small node rows,
-    so the long texts are never shuffled.
+    delivered twice with one text gives its nodes once; one with several texts gives the nodes of each.
     """
     nodes = records.select("record_id", "raw").where("record_id is not null and raw is not null")
-    return nodes.mapInPandas(_emitter(payload), TAGGED).distinct()
+    once = nodes.withColumn("_h", F.xxhash64("raw")).dropDuplicates(["record_id", "_h"]).drop("_h")
+    return once.mapInPandas(_emitter(payload), TAGGED)
 
 
 def write_node_tables(tagged: DataFrame, path: str) -> None:
@@ -194,6 +194,15 @@ def write_node_tables(tagged: DataFrame, path: str) -> None:
     tagged.write.mode("overwrite").partitionBy("node_kind").parquet(path)
 
 
+def node_tables(spark: SparkSession, path: str) -> DataFrame:
+    """The keys of all four tables together: record_id, node_kind, node_path, parent_path, code."""
+    whole = None
+    for tag in TAGS:
+        one = node_table(spark, path, tag).select("record_id", F.lit(tag).alias("node_kind"), "node_path", "parent_path", "code")
+        whole = one if whole is None else whole.unionByName(one)
+    return whole
+
+
 def node_table(spark: SparkSession, path: str, tag: str) -> DataFrame:
     """One table under its own schema; only this tag's folder is read."""
     said = F.from_json("payload", PAYLOADS[tag])

@@ -8,6 +8,7 @@ conversion factors, in the JVM.
 
 from __future__ import annotations
 
+import bisect
 import re
 from functools import lru_cache
 
@@ -113,14 +114,17 @@ def _tokens(text: str) -> list[tuple[str, object]]:
             if text[start].isdigit() and (left.isdigit() or left in (".", ",") and left):
                 continue
         hits.append((start, n, unit))
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # in order; what overlaps a place can only be beside it
+
+    def free(start: int, end: int) -> bool:
+        k = bisect.bisect_left(taken, (start, 0, ""))
+        return (k == len(taken) or end <= taken[k][0]) and (k == 0 or sum(taken[k - 1][:2]) <= start)
+
     for start, n, unit in sorted(hits, key=lambda h: (-h[1] if h[2] != "/" else 0, h[0])):
-        if all(start + n <= s or s + m <= start for s, m, _ in taken):
-            taken.append((start, n, unit))
+        if free(start, start + n):
+            bisect.insort(taken, (start, n, unit))
     out = [(s, "/" if u == "/" else "u", u) for s, _, u in taken]
-    for m in _NUMBER.finditer(text):
-        if all(m.end() <= s or s + n <= m.start() for s, n, _ in taken):
-            out.append((m.start(), "#", read_number(m.group())))
+    out += [(m.start(), "#", read_number(m.group())) for m in _NUMBER.finditer(text) if free(m.start(), m.end())]
     return [(kind, value) for _, kind, value in sorted(out, key=lambda t: t[0])]
 
 
