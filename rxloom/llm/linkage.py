@@ -71,6 +71,7 @@ LEVELS = {
 CONFLICT, GUESSED = 0.002, 20.0
 
 
+@lru_cache(200_000)
 def edits(a: str, b: str, most: int) -> int:
     """Insertions, deletions, changes and swaps of neighbours; most + 1 if there are more."""
     if abs(len(a) - len(b)) > most:
@@ -201,10 +202,10 @@ def _features(named, words, more, forms, bases, uniis, strengths, said) -> dict:
 def keys_of(f: dict) -> list[str]:
     """Pairs of partial attributes, and whole brand names, of which two records of one product share at least one."""
     whole = set(f["bases"]) | set(f["uniis"])
-    parts = {e for b in f["bases"] for e in (b[:5], b[-5:])} | set(f["uniis"])
+    parts = {b[:5] for b in f["bases"]} | set(f["uniis"])  # the ends of substances' names are much alike
     words = [w for house in (f["maker"], f.get("house") or []) for w in house]
     makers = {e for w in words for e in (w[:6], w[-4:])}
-    first = {e for w in f["words"][:1] for e in (w[:5], w[-5:])}
+    first = {e for w in f["words"][:1] for e in ((w[:5],) if f["generic"] else (w[:5], w[-5:]))}
     brand = set() if f["generic"] else first
     keys = {f"m|{m}|{p}" for m in makers for p in parts} | {f"w|{w[:4]}|{p}" for w in words for p in whole} | {f"b|{b}|{p}" for b in brand for p in parts} | {f"x|{m}|{b}" for m in makers for b in first}
     return sorted(keys | ({"n|" + "".join(f["words"] + f["more"])} if brand else set()))

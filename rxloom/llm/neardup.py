@@ -24,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,13 +42,14 @@ SKETCH_AGREE = 92
 #: Ids up to so many are broadcast (16 MB), more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes of keys that one task gathers and sorts; beyond SPREAD times as much a part is spread.
-PART_BYTES, SPREAD = 12 << 20, 2
+PART_BYTES, SPREAD = 15 << 20, 2
 SEED = 20240229
 
 
 def distinct_words(text: Column) -> Column:
-    """The distinct lower-cased words (longest runs of letters and digits)."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9\p{L}\p{Nd}]+"), F.lit(0)))
+    """The distinct lower-cased words (longest runs of letters and digits), each as a hash of 64 bits."""
+    words = F.array_remove(F.split(F.lower(text), r"[^a-z0-9\p{L}\p{Nd}]+"), "")
+    return F.array_distinct(F.transform(words, lambda x: F.xxhash64(x)))
 
 
 def _pi(universe: int, coordinates: int) -> np.ndarray:
@@ -99,112 +100,136 @@ def band_keys(sig: np.ndarray, bands: int, rows: int, key_bytes: int) -> np.ndar
 _SIGNED = "kind string, sid long, id long, fp binary, words int, sketch binary, pid int, base long, keys binary, ordinals binary"
 
 
+def _binary(held: np.ndarray) -> pa.Array:
+    """The rows of a two-dimensional array of bytes."""
+    held = np.ascontiguousarray(held)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(held.shape[1]), len(held), [None, pa.py_buffer(held)]).cast(pa.binary())
+
+
+def _rows(**columns) -> pa.RecordBatch:
+    """Rows of _SIGNED; columns that aren't given are null."""
+    types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    n = len(next(iter(columns.values())))
+    made = [pa.array(columns[c]).cast(types[t]) if c in columns else pa.nulls(n, types[t]) for c, t in (x.split() for x in _SIGNED.split(", "))]
+    return pa.RecordBatch.from_arrays(made, [x.split()[0] for x in _SIGNED.split(", ")])
+
+
 def _signer(bands: int, rows: int, parts: int, key_bytes: int):
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         coordinates = max(bands * rows, SKETCH_BITS)
         pi = _pi(UNIVERSE, coordinates)
-        task, chunks = TaskContext.get().partitionId(), 0
-        names = [c.split()[0] for c in _SIGNED.split(", ")]
+        context = TaskContext.get()
+        task, chunks = context.partitionId() if context else 0, 0
         waiting: list[tuple] = []
 
         def flush():
             nonlocal chunks
             base = ((task << 24) + chunks) << 16
             chunks += 1
-            docs, keys, first = [], [], {}
-            for id_, fp, n, _ in waiting:
-                ordinal = first.setdefault(fp, len(first))
-                docs.append(("doc", base + ordinal, id_, fp, n))
-            lists = {fp: h for _, fp, _, h in waiting}
-            order = list(first)
-            for at in range(0, len(order), 256):
-                sig = signatures([lists[fp] for fp in order[at : at + 256]], pi, coordinates)
+            ids, sizes, flat = (np.concatenate(x) for x in zip(*waiting))
+            waiting.clear()
+            starts = np.r_[0, np.cumsum(sizes)[:-1]]
+            fps, slots = fingerprints(flat, starts), slots_of(flat, UNIVERSE)
+            order = np.lexsort(fps.T)  # equal texts beside each other
+            fresh = np.r_[True, (fps[order[1:]] != fps[order[:-1]]).any(axis=1)]
+            ordinal = np.empty(len(ids), np.int64)
+            ordinal[order] = np.cumsum(fresh) - 1
+            own, keys, bits = order[fresh], [], []
+            for at in range(0, len(own), 256):
+                sig = signatures([slots[starts[i] : starts[i] + sizes[i]] for i in own[at : at + 256]], pi, coordinates)
                 keys.append(band_keys(sig[:, : bands * rows], bands, rows, key_bytes))
-                bits = np.packbits((sig[:, :SKETCH_BITS] & 1).astype(bool), axis=1)
-                for k, fp in enumerate(order[at : at + 256]):
-                    first[fp] = (first[fp], bits[k].tobytes())
-            yield pd.DataFrame([(*d, first[d[3]][1], None, None, None, None) for d in docs], columns=names)
-            flat = np.concatenate(keys)
-            ordinals = np.repeat(np.arange(len(order), dtype=np.uint16), bands)
-            flat = flat.ravel()
+                bits.append(np.packbits((sig[:, :SKETCH_BITS] & 1).astype(bool), axis=1))
+            yield _rows(kind=np.repeat("doc", len(ids)), sid=base + ordinal, id=ids, fp=_binary(fps.view(np.uint8)), words=sizes, sketch=_binary(np.concatenate(bits)[ordinal]))
+            flat = np.concatenate(keys).ravel()
+            ordinals = np.repeat(np.arange(len(own), dtype=np.uint16), bands)
             by = np.argsort(flat, kind="stable")
             flat, ordinals = flat[by], ordinals[by]
             cuts = np.searchsorted(flat, (np.arange(parts + 1, dtype=object) * (1 << 8 * key_bytes) // parts).astype(np.uint64))
-            out = []
-            for p in range(parts):
-                a, b = cuts[p], cuts[p + 1]
-                if a < b:
-                    raw = flat[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :key_bytes].tobytes()
-                    out.append(("band", None, None, None, None, None, p, base, raw, ordinals[a:b].astype("<u2").tobytes()))
-            yield pd.DataFrame(out, columns=names)
-            waiting.clear()
+            held = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+            raw = lambda p: flat[cuts[p] : cuts[p + 1]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :key_bytes].tobytes()
+            yield _rows(
+                kind=np.repeat("band", len(held)), pid=np.array(held, np.int32), base=np.repeat(base, len(held)),
+                keys=pa.array([raw(p) for p in held], pa.binary()), ordinals=pa.array([ordinals[cuts[p] : cuts[p + 1]].astype("<u2").tobytes() for p in held], pa.binary()),
+            )
 
         for batch in batches:
-            lists = [np.asarray(h) for h in batch["hashes"]]
-            sizes = np.array([len(h) for h in lists], np.int64)
-            kept = np.flatnonzero(sizes)  # a text without a word is no case
-            if not len(kept):
+            lists = batch.column("hashes")
+            ends = lists.offsets.to_numpy()
+            sizes = np.diff(ends)
+            kept = sizes > 0  # a text without a word is no case
+            if not kept.any():
                 continue
-            flat = np.concatenate([lists[i] for i in kept]).view(np.uint64)
-            starts = np.r_[0, np.cumsum(sizes[kept])[:-1]]
-            fps, slots = fingerprints(flat, starts), slots_of(flat, UNIVERSE)
-            ids = batch["id"].to_numpy()[kept]
-            for id_, fp, at, n in zip(ids, fps, starts, sizes[kept]):
-                waiting.append((int(id_), fp.tobytes(), int(n), slots[at : at + n]))
-                if len(waiting) >= CHUNK:
-                    yield from flush()
+            waiting.append((batch.column("id").to_numpy()[kept], sizes[kept].astype(np.int64), lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64)))
+            if sum(len(w[0]) for w in waiting) >= CHUNK:
+                yield from flush()
         if waiting:
             yield from flush()
 
     return sign
 
 
+def _pairs(kind: str, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(kind, len(a)), pa.string()), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["kind", "a", "b"])
+
+
 def _bucketer(key_bytes: int):
     """Per partition of keys: ('pair', a, b) of each bucket's first with every other, and, of buckets
     of more than two, ('member', bucket, sid) for the second pass. Equal buckets are given once. Of a
-    spread part also ('head', key, first), and ('spread', key, sid) of all members."""
+    spread part also ('head', key, first), and ('spread', key, sid) of all members.
+
+    A key and the place of its text (chunk and ordinal) are one number of 64 bits: the more chunks there
+    are, the more parts, and the fewer bits the keys of one part need."""
 
-    def bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, sids, spread = [], [], False
+    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, spread = [], False
         for batch in batches:
-            for base, raw, ordinals, part in zip(batch["base"], batch["keys"], batch["ordinals"], batch["spread"]):
-                low = np.frombuffer(raw, np.uint8).reshape(-1, key_bytes)
-                key = np.zeros((len(low), 8), np.uint8)
-                key[:, :key_bytes] = low
-                keys.append(key.view("<u8").ravel())
-                sids.append(np.frombuffer(ordinals, "<u2").astype(np.int64) + int(base))
-                spread = bool(part)
-        if not keys:
+            for base, raw, ordinals, part in zip(*(batch.column(c).to_pylist() for c in ("base", "keys", "ordinals", "spread"))):
+                held.append((base, raw, ordinals))
+                spread = part
+        if not held:
             return
-        key, sid = np.concatenate(keys), np.concatenate(sids)
-        del keys, sids
-        same = np.lexsort((sid, key))
-        key, sid = key[same], sid[same]
+        held.sort(key=lambda h: h[0])
+        bases = np.array([h[0] for h in held], np.int64)
+        low = np.frombuffer(b"".join(h[1] for h in held), np.uint8).reshape(-1, key_bytes)
+        wide = np.zeros((len(low), 8), np.uint8)
+        wide[:, :key_bytes] = low
+        key = wide.view("<u8").ravel()
+        place = np.frombuffer(b"".join(h[2] for h in held), "<u2").astype(np.uint64) | np.repeat(np.arange(len(held), dtype=np.uint64) << np.uint64(16), [len(h[2]) // 2 for h in held])
+        del held, low, wide
+        least, width = key.min(), 16 + int(len(bases) - 1).bit_length()
+        if int(key.max() - least).bit_length() + width > 64:
+            raise ValueError("a part holds too many chunks")
+        one = (key - least) << np.uint64(width) | place
+        one.sort()
+        key, place = one >> np.uint64(width), one & np.uint64((1 << width) - 1)
+        sid_of = lambda p: bases[(p >> np.uint64(16)).astype(np.int64)] + (p & np.uint64(0xFFFF)).astype(np.int64)
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         if spread:
-            yield pd.DataFrame({"kind": "head", "a": key[starts].astype(np.int64), "b": sid[starts]})
-            yield pd.DataFrame({"kind": "spread", "a": key.astype(np.int64), "b": sid})
+            yield _pairs("head", (key + least)[starts], sid_of(place[starts]))
+            yield _pairs("spread", key + least, sid_of(place))
         several = sizes > 1
         starts, sizes = starts[several], sizes[several]
         if not len(starts):
             return
-        at = np.repeat(starts, sizes)
-        within = np.arange(sizes.sum()) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)
-        member, first = sid[at + within], sid[at]
+        ends = np.cumsum(sizes)
+        within = np.arange(ends[-1]) - np.repeat(np.r_[0, ends[:-1]], sizes)
+        member, first = place[np.repeat(starts, sizes) + within], place[np.repeat(starts, sizes)]
         other = member != first
-        pairs = np.unique(np.stack([first[other], member[other]], 1), axis=0)
-        yield pd.DataFrame({"kind": "pair", "a": pairs[:, 0], "b": pairs[:, 1]})
-        big = np.repeat(sizes > 2, sizes)
-        if big.any() and not spread:
+        if 2 * width > 64:
+            raise ValueError("a part holds too many chunks")
+        pairs = np.unique(first[other] << np.uint64(width) | member[other])
+        yield _pairs("pair", sid_of(pairs >> np.uint64(width)), sid_of(pairs & np.uint64((1 << width) - 1)))
+        if (sizes > 2).any() and not spread:
             # a bucket is named by a hash of its members, so that equal ones come once
             with np.errstate(over="ignore"):
-                sums = np.add.reduceat(_mix(member.astype(np.uint64) + np.uint64(1)), np.r_[0, np.cumsum(sizes)[:-1]])
-            named = np.stack([np.repeat(sums.astype(np.int64), sizes)[big], member[big]], 1)
-            named = np.unique(named, axis=0)
-            yield pd.DataFrame({"kind": "member", "a": named[:, 0], "b": named[:, 1]})
+                sums = np.add.reduceat(_mix(sid_of(member).astype(np.uint64) + np.uint64(1)), np.r_[0, ends[:-1]])
+            chosen = np.zeros(len(sizes), bool)
+            chosen[np.unique(sums, return_index=True)[1]] = True
+            chosen = np.repeat(chosen & (sizes > 2), sizes)
+            yield _pairs("member", np.repeat(sums, sizes)[chosen].view(np.int64), sid_of(member[chosen]))
 
     return bucket
 
@@ -248,15 +273,15 @@ def near_duplicates(
     scratch = Scratch(spark)
     parts = parts or max(8, -(-texts.count() * bands * (key_bytes + 2) // part_bytes))
     source = texts.select(F.col("id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    hashed = source.select("id", F.transform(distinct_words(F.col("text")), lambda x: F.xxhash64(x)).alias("hashes"))
+    hashed = source.select("id", distinct_words(F.col("text")).alias("hashes"))
     signed_at = f"{scratch.root}/signed"
-    hashed.mapInPandas(_signer(bands, rows, parts, key_bytes), _SIGNED).write.partitionBy("kind").option("compression", "zstd").parquet(signed_at)
+    hashed.mapInArrow(_signer(bands, rows, parts, key_bytes), _SIGNED).write.partitionBy("kind").option("compression", "zstd").parquet(signed_at)
     signed = spark.read.schema(_SIGNED).parquet(signed_at)
     word = lambda k: F.conv(F.substring(F.hex("sketch"), 1 + 16 * k, 16), 16, -10).cast("long").alias(f"s{k}")
     docs = signed.where("kind = 'doc'").select("sid", "id", "fp", "words", *(word(k) for k in range(SKETCH_BITS // 64)))
     owners = docs.groupBy("fp").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"))
     chunks = _placed(signed.where("kind = 'band'").select("pid", "base", "keys", "ordinals"), parts, part_bytes)
-    buckets, _ = scratch.keep(chunks.mapInPandas(_bucketer(key_bytes), "kind string, a long, b long"))
+    buckets, _ = scratch.keep(chunks.mapInArrow(_bucketer(key_bytes), "kind string, a long, b long"))
     # firsts of one key in several tasks; without spread parts these are empty
     heads = buckets.where("kind = 'head'").select(F.col("a").alias("key"), F.col("b").alias("sid"))
     across_tasks = heads.join(heads.groupBy("key").agg(F.min("sid").alias("first"), F.count("*").alias("n")).where("n > 1"), "key").where("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
@@ -286,7 +311,7 @@ def near_duplicates(
         wanted, _ = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         few = wanted.count() <= BROADCAST_IDS
         asked = source.dropDuplicates(["id"]) if not few else source.join(F.broadcast(wanted), "id", "left_semi").dropDuplicates(["id"])
-        words = asked.select("id", F.transform(distinct_words(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))  # taken once a text, not once a pair
+        words = asked.select("id", distinct_words(F.col("text")).alias("w"))  # taken once a text, not once a pair
         both = pairs.join(words.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
         common = both.withColumn("n", F.size(F.array_intersect("wa", "wb")))
         return common.where(F.col("n") >= threshold * (F.size("wa") + F.size("wb") - F.col("n")) - 1e-9).select("a", "b")
