@@ -146,13 +146,26 @@ def resolve(spark: SparkSession, candidates: DataFrame, existing: DataFrame | No
     return named.join(ids, F.col("matched") == F.col("_new"), "left").select("ordinal", "entity_id", "outcome", F.coalesce("_id", "matched").alias("matched_id"), "score")
 
 
-def redirects(spark: SparkSession, reviews: DataFrame) -> DataFrame:
-    """loser, winner of approved reviews (candidate_a_id wins); chains of merges end in one winner, the
-    smallest id of all that were merged. Only pending or approved decisions are passed in by the caller."""
-    approved = reviews.select(F.col("candidate_b_id").alias("u"), F.col("candidate_a_id").alias("v"))
-    return group_pairs(spark, approved).where("node <> component").select(F.col("node").alias("loser"), F.col("component").alias("winner"))
+def redirects(spark: SparkSession, approved: DataFrame) -> DataFrame:
+    """loser, winner of approved reviews (id, candidate_a_id, candidate_b_id), which take effect in order of id.
 
-
-def merge_aliases(redirect: DataFrame, current: DataFrame, entity: str) -> DataFrame:
-    """The losers' names as aliases of their winners."""
-    return redirect.join(current.select(F.col(entity).alias("loser"), "name"), "loser").select(F.col("winner").alias("entity_id"), F.col("name").alias("alias_text"), normalize_name(F.col("name")).alias("normalized_alias_text"))
+    candidate_a_id survives each merge; if it is merged away later, what was its goes along. A merge's
+    successor is the first later one whose loser is its survivor; successors are followed to their ends by
+    pointer jumping. Reviews with a null candidate, and of an entity with itself, merge nothing.
+    """
+    scratch = Scratch(spark)
+    real = approved.where("candidate_a_id is not null and candidate_b_id is not null and candidate_a_id <> candidate_b_id")
+    merges, _ = scratch.keep(real.select(F.col("id").alias("at"), F.col("candidate_b_id").alias("loser"), F.col("candidate_a_id").alias("winner")))
+    later = merges.select(F.col("at").alias("then"), F.col("loser").alias("winner"))
+    after = merges.join(later, "winner").where("then > at").groupBy("at").agg(F.min("then").alias("next"))
+    held, path = scratch.keep(merges.join(after, "at", "left").select("at", F.coalesce("next", "at").alias("next")))
+    while True:
+        step = held.select(F.col("at").alias("next"), F.col("next").alias("far"))
+        kept, ahead = scratch.keep(held.join(step, "next").select("at", F.col("far").alias("next"), (F.col("far") != F.col("next")).alias("moved")))
+        scratch.drop(path)
+        held, path = kept.drop("moved"), ahead
+        if kept.where("moved").isEmpty():
+            break
+    first = merges.groupBy("loser").agg(F.min("at").alias("at"))
+    ends = held.join(merges.select(F.col("at").alias("next"), "winner"), "next").select("at", "winner")
+    return first.join(ends, "at").where("loser <> winner").select("loser", "winner")

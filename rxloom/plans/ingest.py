@@ -38,16 +38,32 @@ def ingredient_links(names: Column, uniis: Column) -> Column:
     return F.transform(names, lambda n, i: F.struct(i.alias("pos"), n.alias("name"), F.nullif(F.get(uniis, i), F.lit("")).alias("unii")))
 
 
-def transform_labels(parsed: DataFrame) -> DataFrame:
-    """record_key, name, product_type, manufacturer_name, ingredients, warnings of parsed records."""
+#: Columns of a canonical candidate of either source; ingredients are array<struct<pos,name,unii,role>>.
+CANDIDATE = ["ordinal", "record_key", "name", "product_type", "dosage_form", "manufacturer_name", "manufacturer_duns", "ingredients", "warnings", "payload"]
+
+
+def transform_labels(parsed: DataFrame, *beside: str) -> DataFrame:
+    """Candidates of parsed JSON records; their ingredients are active, their form and DUNS unknown."""
     name = F.coalesce(F.nullif("brand_name", F.lit("")), F.nullif("generic_name", F.lit("")))
     said = lambda c, kind: F.transform(c, lambda t: F.struct(F.lit(kind).alias("category"), t.alias("text")))
+    active = F.transform(ingredient_links(F.col("substance_names"), F.col("uniis")), lambda i: F.struct(i["pos"].alias("pos"), i["name"].alias("name"), i["unii"].alias("unii"), F.lit("active").alias("role")))
+    none = F.lit(None).cast("string")
     return parsed.select(
-        "record_key", name.alias("name"), "product_type", "manufacturer_name", ingredient_links(F.col("substance_names"), F.col("uniis")).alias("ingredients"),
+        *beside, "record_key", name.alias("name"), "product_type", none.alias("dosage_form"), "manufacturer_name", none.alias("manufacturer_duns"), active.alias("ingredients"),
         F.concat(said(F.col("boxed_warnings"), "boxed_warning"), said(F.col("warnings"), "precaution")).alias("warnings"),
     )
 
 
+def transform_spl(extracted: DataFrame, *beside: str) -> DataFrame:
+    """Candidates of extracted documents; quantities, administration text, version and time are left out."""
+    links = F.transform("ingredients", lambda i, n: F.struct(n.alias("pos"), i["name"].alias("name"), F.nullif(i["unii"], F.lit("")).alias("unii"), i["role"].alias("role")))
+    return extracted.select(
+        *beside, F.col("metadata.set_id").alias("record_key"), F.col("metadata.product_name").alias("name"), F.col("metadata.product_type").alias("product_type"), F.col("dosage.dosage_form").alias("dosage_form"),
+        F.col("manufacturer.name").alias("manufacturer_name"), F.nullif("manufacturer.duns_number", F.lit("")).alias("manufacturer_duns"), links.alias("ingredients"),
+        F.coalesce("warnings", F.array().cast("array<struct<category:string,text:string>>")).alias("warnings"),
+    )
+
+
 def reasons(*rules: tuple[Column, str]) -> Column:
     """The texts of the rules that don't hold, joined by '; '; empty if all do."""
     return F.concat_ws("; ", *(F.when(~F.coalesce(ok, F.lit(False)), F.lit(said)) for ok, said in rules))
@@ -62,9 +78,14 @@ def spl_reasons(product: Column, ingredients: Column, manufacturer: Column) -> C
     return reasons((F.coalesce(product, F.lit("")) != "", "no product name"), (F.size(ingredients) > 0, "no ingredients"), (F.coalesce(manufacturer, F.lit("")) != "", "no manufacturer"))
 
 
-def too_long(**columns: Column) -> Column:
-    """Why a row can't be saved: names of the limits that a column exceeds."""
-    return reasons(*((F.coalesce(F.length(c), F.lit(0)) <= LIMITS[k], f"{k} longer than {LIMITS[k]}") for k, c in columns.items()))
+def save_reasons() -> Column:
+    """Why a candidate can't be saved: the columns whose limits it exceeds; empty if none."""
+    fits = lambda c, most: F.coalesce(F.length(c), F.lit(0)) <= most
+    all_fit = lambda part, most: ~F.exists("ingredients", lambda i: F.coalesce(F.length(i[part]) > most, F.lit(False)))
+    rules = [(fits(F.col(c), LIMITS[c]), f"{c} longer than {LIMITS[c]}") for c in ("name", "product_type", "dosage_form")]
+    rules += [(fits(F.col("manufacturer_name"), LIMITS["name"]), f"manufacturer_name longer than {LIMITS['name']}"), (all_fit("name", LIMITS["name"]), f"ingredient name longer than {LIMITS['name']}")]
+    rules += [(fits(F.col(c), LIMITS["reference_value"]), f"{c} longer than {LIMITS['reference_value']}") for c in ("record_key", "manufacturer_duns")]
+    return reasons(*rules, (all_fit("unii", LIMITS["reference_value"]), f"unii longer than {LIMITS['reference_value']}"))
 
 
 def dead_letters(rows: DataFrame, stage: str, reason: str, identifier: str, payload: Column) -> DataFrame:

@@ -1,4 +1,4 @@
-"""A whole load: records to candidates, entities, outcomes and the rows to append.
+"""Loads: candidates of either source to entities, outcomes and the rows to append; decisions on reviews.
 
 Nothing is overwritten: every table gets new rows, and a load that fails before they are written leaves
 the store as it was. Loaded again, the same records are 'unchanged'. One load at a time.
@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rxloom.functions.text import normalize_name
-from rxloom.operators.resolve import resolve
-from rxloom.operators.store import current_versions, dense_numbers, upsert_outcomes
-from rxloom.plans.ingest import dead_letters, label_reasons, parse_label_records, too_long, transform_labels
+from rxloom.functions.text import encode_payload, normalize_name
+from rxloom.operators.resolve import redirects, resolve
+from rxloom.operators.store import current_versions, dense_numbers, repoint_links
+from rxloom.plans.ingest import CANDIDATE, label_reasons, parse_label_records, save_reasons, spl_reasons, transform_labels, transform_spl
 from rxloom.schema import PREFIXES, TABLES
 from rxloom.session import Scratch
 
 PARTS = ["ingredient_versions", "manufacturer_versions", "product_versions", "product_ingredients", "warnings", "references", "aliases"]
+LETTERS = "stage string, record_identifier string, raw_payload string, error_message string"
 
 
 def empty_store(spark: SparkSession) -> dict[str, DataFrame]:
@@ -46,70 +47,140 @@ def _entities(spark: SparkSession, store: dict, kind: str, asked: DataFrame, sta
     told = named.where("identifier is not null and identifier <> '' and outcome in ('created', 'review', 'auto_merge')")
     refs = told.groupBy("entity_id", "identifier").agg(F.count("*")).select(F.xxhash64("entity_id", "identifier").alias("id"), F.lit(kind).alias("entity_type"), "entity_id", F.lit("unii" if kind == "ingredient" else "duns").alias("reference_type"), F.col("identifier").alias("reference_value"), *stamp)
     aliases = named.where("outcome = 'auto_merge'").select(F.xxhash64("entity_id", "name").alias("id"), F.lit(kind).alias("entity_type"), "entity_id", F.col("name").alias("alias_text"), normalize_name(F.col("name")).alias("normalized_alias_text"), F.col("score").alias("confidence"), *stamp)
-    reviews = named.where("outcome = 'review'").select(F.lit(kind).alias("entity_type"), F.col("matched_id").alias("candidate_a_id"), F.col("entity_id").alias("candidate_b_id"), F.col("score").alias("confidence_score"), F.lit("pending").alias("status"))
+    reviews = named.where("outcome = 'review'").select(F.xxhash64("matched_id", "entity_id").alias("id"), F.lit(kind).alias("entity_type"), F.col("matched_id").alias("candidate_a_id"), F.col("entity_id").alias("candidate_b_id"), F.col("score").alias("confidence_score"), F.lit("pending").alias("status"), stamp[1])
     return found.select("ordinal", "entity_id"), {f"{kind}_versions": versions, "references": refs, "aliases": aliases, "reviews": reviews}
 
 
-def load_labels(spark: SparkSession, records: DataFrame, store: dict[str, DataFrame], source_id: int, now: Column) -> dict[str, DataFrame]:
-    """Rows to append of a load of records (ordinal, raw), with 'outcomes' and 'dead_letters'.
+def _letters(rows: DataFrame, stage: str, reason: str) -> DataFrame:
+    return rows.where(F.col(reason).isNotNull() & (F.col(reason) != "")).select(F.lit(stage).alias("stage"), F.col("identifier").alias("record_identifier"), F.col("payload").alias("raw_payload"), F.col(reason).alias("error_message"))
+
+
+def label_candidates(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates (CANDIDATE) of records (ordinal, raw), and dead letters of those that can't be read or lack something."""
+    parsed = parse_label_records(records.select("ordinal", "raw", F.col("raw").alias("payload")))
+    judged = parsed.withColumn("identifier", F.col("record_key")).withColumn("reason", F.when(F.col("parse_error").isNull(), label_reasons(F.col("brand_name"), F.col("generic_name"), F.col("substance_names"))))
+    good = transform_labels(judged.where("parse_error is null and reason = ''"), "ordinal", "payload")
+    return good, _letters(judged, "parse", "parse_error").unionByName(_letters(judged, "validation", "reason"))
+
+
+def spl_candidates(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of extracted documents (ordinal, xml and sources.spl.EXTRACTED); one that can't be read is named by its package."""
+    judged = documents.withColumn("payload", encode_payload(F.col("package_name"), F.col("xml"))).withColumn("identifier", F.coalesce("metadata.set_id", "package_name")).withColumn(
+        "reason", F.when(F.col("parse_error").isNull(), spl_reasons(F.col("metadata.product_name"), F.col("ingredients"), F.col("manufacturer.name")))
+    )
+    good = transform_spl(judged.where("parse_error is null and reason = ''"), "ordinal", "payload")
+    return good, _letters(judged, "validation", "parse_error").unionByName(_letters(judged, "validation", "reason"))
+
+
+def save_candidates(spark: SparkSession, candidates: DataFrame, store: dict[str, DataFrame], source_id: int, now: Column, forms: bool) -> dict[str, DataFrame]:
+    """Rows to append for candidates (CANDIDATE), with 'outcomes' (ordinal, record_key, outcome) and 'dead_letters'.
 
-    Of several records with one key in a load the last counts. A product is found by its set id and is
-    unchanged if its name, type, maker, ingredients and warnings are; nulls are equal.
+    A product is found by its set id and is unchanged if its name, type, maker, ingredients with roles and
+    warnings are, and its form too where ``forms`` says that the source has one; nulls are equal. Records
+    of one key are saved in turn, each against the one before it. A record with a text that is too long
+    for its column becomes a dead letter and adds nothing.
     """
     scratch = Scratch(spark)
     stamp = [F.lit(source_id).alias("source_id"), now.alias("created_at")]
-    parsed = parse_label_records(records.select("ordinal", "raw", F.col("raw").alias("payload")))
-    name = F.coalesce(F.nullif("brand_name", F.lit("")), F.nullif("generic_name", F.lit("")))
-    long = F.nullif(too_long(name=name, product_type=F.col("product_type")), F.lit(""))
-    why = F.coalesce("parse_error", F.nullif(label_reasons(F.col("brand_name"), F.col("generic_name"), F.col("substance_names")), F.lit("")), long)
-    judged, _ = scratch.keep(parsed.withColumn("reason", why))
-    good = judged.where("reason is null")
-    latest = good.groupBy("record_key").agg(F.max("ordinal").alias("ordinal"))
-    kept = good.join(latest, ["record_key", "ordinal"], "left_semi")
-    rows, _ = scratch.keep(transform_labels(kept).join(latest, "record_key"))
-    links = rows.select("record_key", "ordinal", F.explode("ingredients").alias("i")).select("record_key", (F.col("ordinal") * 1000 + F.col("i.pos")).alias("ordinal"), "i.name", F.col("i.unii").alias("identifier"))
-    ingredients, added = _entities(spark, store, "ingredient", links.select("ordinal", "name", "identifier"), stamp)
-    makers, more = _entities(spark, store, "manufacturer", rows.select("ordinal", F.col("manufacturer_name").alias("name"), F.lit(None).cast("string").alias("identifier")), stamp)
-    sets = links.join(ingredients, "ordinal").groupBy("record_key").agg(F.sort_array(F.collect_set("entity_id")).alias("ings"))
-    incoming = rows.join(makers.withColumnRenamed("entity_id", "manufacturer_id"), "ordinal", "left").join(sets, "record_key", "left").select("record_key", "name", "product_type", "manufacturer_id", "ings", F.sort_array("warnings").alias("warns"))
-    incoming, _ = scratch.keep(incoming)
+    judged, _ = scratch.keep(candidates.select(*CANDIDATE).withColumn("identifier", F.col("record_key")).withColumn("reason", save_reasons()))
+    rows = judged.where("reason = ''")
+    listed = rows.select("record_key", F.col("ordinal").alias("record"), F.explode("ingredients").alias("i")).select("record_key", "record", "i.pos", "i.name", "i.unii", "i.role")
+    links, _ = scratch.keep(dense_numbers(scratch.keep(listed)[0], ["record", "pos"], "ordinal"))
+    ingredients, added = _entities(spark, store, "ingredient", links.select("ordinal", "name", F.col("unii").alias("identifier")), stamp)
+    makers, more = _entities(spark, store, "manufacturer", rows.select("ordinal", F.col("manufacturer_name").alias("name"), F.col("manufacturer_duns").alias("identifier")), stamp)
+    roles, _ = scratch.keep(links.join(ingredients, "ordinal").groupBy("record", "entity_id").agg(F.min_by("role", "pos").alias("role")))  # the first role holds
+    sets = roles.groupBy(F.col("record").alias("ordinal")).agg(F.sort_array(F.collect_list(F.struct("entity_id", "role"))).alias("ings"))
+    compared = ["name", "product_type", *(["dosage_form"] if forms else []), "manufacturer_id", "ings", "warns"]
+    none = F.array().cast("array<struct<entity_id:string,role:string>>")
+    incoming = rows.join(makers.withColumnRenamed("entity_id", "manufacturer_id"), "ordinal", "left").join(sets, "ordinal", "left").select(
+        "ordinal", "record_key", "name", "product_type", "dosage_form", "manufacturer_id", F.coalesce("ings", none).alias("ings"), F.sort_array("warnings").alias("warns")
+    ).withColumn("state", F.struct(*compared))
     refs = store["references"].where("entity_type = 'product' and reference_type = 'spl_set_id'").groupBy(F.col("reference_value").alias("record_key")).agg(F.min("entity_id").alias("product_id"))
     current = current_versions(store["product_versions"], "product_id")
-    own = store["product_ingredients"].groupBy(F.col("product_version_id").alias("id")).agg(F.sort_array(F.collect_set("ingredient_id")).alias("ings"))
+    own = store["product_ingredients"].select(F.col("product_version_id").alias("id"), F.col("ingredient_id").alias("entity_id"), "role").distinct().groupBy("id").agg(F.sort_array(F.collect_list(F.struct("entity_id", "role"))).alias("ings"))
     said = store["warnings"].groupBy("product_id", "version_number").agg(F.sort_array(F.collect_list(F.struct("category", "text"))).alias("warns"))
-    was = refs.join(current, "product_id").join(own, "id", "left").join(said, ["product_id", "version_number"], "left").withColumn("warns", F.coalesce("warns", F.array().cast("array<struct<category:string,text:string>>")))
-    outcomes, _ = scratch.keep(upsert_outcomes(incoming, was, "record_key", ["name", "product_type", "manufacturer_id", "ings", "warns"]))
-    fresh = dense_numbers(outcomes.where("outcome = 'created'").select("record_key"), ["record_key"], "n", _last(store["product_versions"], "product_id")).select("record_key", F.format_string("PRD-%06d", "n").alias("new_id"))
-    changed = incoming.join(outcomes.where("outcome <> 'unchanged'"), "record_key").join(fresh, "record_key", "left").join(was.select("record_key", "product_id", F.col("version_number").alias("v")), "record_key", "left")
-    numbered = changed.withColumn("product_id", F.coalesce("new_id", "product_id")).withColumn("version_number", F.coalesce(F.col("v") + 1, F.lit(1))).withColumn("id", F.xxhash64("product_id", "version_number"))
-    numbered, _ = scratch.keep(numbered)
-    first = F.row_number().over(Window.partitionBy("record_key", "entity_id").orderBy("ordinal"))
-    roles = links.join(ingredients, "ordinal").withColumn("k", first).where("k = 1").select("record_key", "entity_id")
+    was = refs.join(current, "product_id").join(own, "id", "left").join(said, ["product_id", "version_number"], "left").withColumn("ings", F.coalesce("ings", none)).withColumn("warns", F.coalesce("warns", F.array().cast("array<struct<category:string,text:string>>")))
+    stored = was.select("record_key", "product_id", F.col("version_number").alias("v"), F.struct(*compared).alias("stored"))
+    turn = Window.partitionBy("record_key").orderBy("ordinal")
+    before = F.lag(F.struct("state")).over(turn)
+    compared_to = incoming.join(stored, "record_key", "left").withColumn("before", before).select(
+        "*", F.when(F.col("before").isNull() & F.col("product_id").isNull(), "created").when(F.coalesce("before.state", "stored").eqNullSafe(F.col("state")), "unchanged").otherwise("updated").alias("outcome")
+    )
+    saved, _ = scratch.keep(compared_to.withColumn("version_number", (F.coalesce("v", F.lit(0)) + F.sum(F.when(F.col("outcome") == "unchanged", 0).otherwise(1)).over(turn)).cast("int")).drop("before", "stored", "state"))
+    fresh = dense_numbers(saved.where("outcome = 'created'").select("record_key", F.col("ordinal").alias("first")), ["first"], "n", _last(store["product_versions"], "product_id")).select("record_key", F.format_string("PRD-%06d", "n").alias("new_id"))
+    changed = saved.where("outcome <> 'unchanged'").join(fresh, "record_key", "left").withColumn("product_id", F.coalesce("product_id", "new_id")).withColumn("id", F.xxhash64("product_id", "version_number"))
+    numbered, _ = scratch.keep(changed)
     return added | {
         "manufacturer_versions": more["manufacturer_versions"],
         "aliases": added["aliases"].unionByName(more["aliases"]),
         "reviews": added["reviews"].unionByName(more["reviews"]),
-        "product_versions": numbered.select("id", "product_id", "version_number", "name", "product_type", F.lit(None).cast("string").alias("dosage_form"), "manufacturer_id", F.lit("active").alias("status"), *stamp),
-        "product_ingredients": roles.join(numbered.select("record_key", "id"), "record_key").select(F.col("id").alias("product_version_id"), F.col("entity_id").alias("ingredient_id"), F.lit("active").alias("role"), F.lit(None).cast("double").alias("quantity"), F.lit(None).cast("string").alias("unit")),
+        "product_versions": numbered.select("id", "product_id", "version_number", "name", "product_type", "dosage_form", "manufacturer_id", F.lit("active").alias("status"), *stamp),
+        "product_ingredients": numbered.select(F.col("id").alias("product_version_id"), F.inline("ings")).select("product_version_id", F.col("entity_id").alias("ingredient_id"), "role", F.lit(None).cast("double").alias("quantity"), F.lit(None).cast("string").alias("unit")),
         "warnings": numbered.select("product_id", "version_number", F.posexplode("warns").alias("pos", "w")).select(F.xxhash64("product_id", "version_number", "pos").alias("id"), "product_id", "w.category", "w.text", F.lit("active").alias("status"), "version_number", *stamp),
-        "references": added["references"].unionByName(more["references"]).unionByName(numbered.where("version_number = 1").select(F.xxhash64("product_id", "record_key").alias("id"), F.lit("product").alias("entity_type"), F.col("product_id").alias("entity_id"), F.lit("spl_set_id").alias("reference_type"), F.col("record_key").alias("reference_value"), *stamp)),
-        "outcomes": outcomes,
-        "dead_letters": dead_letters(judged, "validation", "reason", "record_key", F.col("payload")),
+        "references": added["references"].unionByName(more["references"]).unionByName(numbered.where("outcome = 'created'").select(F.xxhash64("product_id", "record_key").alias("id"), F.lit("product").alias("entity_type"), F.col("product_id").alias("entity_id"), F.lit("spl_set_id").alias("reference_type"), F.col("record_key").alias("reference_value"), *stamp)),
+        "outcomes": saved.select("ordinal", "record_key", "outcome"),
+        "dead_letters": _letters(judged, "save", "reason"),
     }
 
 
+def load_labels(spark: SparkSession, records: DataFrame, store: dict[str, DataFrame], source_id: int, now: Column) -> dict[str, DataFrame]:
+    """Rows to append of a load of JSON records (ordinal, raw), with 'outcomes' and all 'dead_letters'."""
+    good, letters = label_candidates(records)
+    rows = save_candidates(spark, good, store, source_id, now, forms=False)
+    return rows | {"dead_letters": letters.unionByName(rows["dead_letters"])}
+
+
+def load_documents(spark: SparkSession, documents: DataFrame, store: dict[str, DataFrame], source_id: int, now: Column) -> dict[str, DataFrame]:
+    """The same of extracted documents (ordinal, xml, EXTRACTED): makers also by DUNS, ingredients with roles, forms compared."""
+    good, letters = spl_candidates(documents)
+    rows = save_candidates(spark, good, store, source_id, now, forms=True)
+    return rows | {"dead_letters": letters.unionByName(rows["dead_letters"])}
+
+
 def appended(store: dict[str, DataFrame], rows: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The store after a load; each table is written and read back."""
-    return {t: Scratch(df.sparkSession).keep(df.unionByName(rows[t]))[0] for t, df in store.items()}
+    """The store after a load: only the new rows are written, the rest is read where it is."""
+    return {t: df.unionByName(Scratch(df.sparkSession).keep(rows[t])[0]) if t in rows else df for t, df in store.items()}
 
 
-def apply_review(store: dict[str, DataFrame], kind: str, redirect: DataFrame, source_id: int, now: Column) -> dict[str, DataFrame]:
-    """The store after approved merges (loser, winner): losers get a superseded version and their names
-    become aliases; references and aliases of losers go to the winners."""
+def decide_reviews(spark: SparkSession, store: dict[str, DataFrame], reviews: DataFrame, decisions: DataFrame, source_id: int, now: Column) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The store and the reviews after decisions (id, decision, reviewed_by): 'approved' or 'rejected'.
+
+    A review that isn't pending, or isn't there, raises ValueError. Approved ones take effect in order of
+    their ids: candidate_b_id is merged into candidate_a_id, which always survives. The loser gets a
+    superseded version and its name becomes an alias with the review's score; references, aliases,
+    ingredient links and makers of products go to the survivor. Rejected ones change nothing else.
+    """
+    asked = decisions.join(reviews.drop("reviewed_by", "reviewed_at"), "id", "left")
+    wrong = asked.where("status is null or status <> 'pending' or decision not in ('approved', 'rejected')").count()
+    if wrong:
+        raise ValueError(f"{wrong} of the reviews aren't pending")
+    approved, _ = Scratch(spark).keep(asked.where("decision = 'approved'"))
+    after = dict(store)
+    for kind in ("ingredient", "manufacturer"):
+        own = approved.where(F.col("entity_type") == kind)
+        if not own.isEmpty():
+            after = merge_entities(spark, after, kind, own, source_id, now)
+    told = decisions.select("id", "decision", F.col("reviewed_by").alias("_by"))
+    kept = reviews.columns
+    decided = reviews.withColumn("reviewed_by", F.col("reviewed_by") if "reviewed_by" in kept else F.lit(None).cast("string")).withColumn("reviewed_at", F.col("reviewed_at") if "reviewed_at" in kept else F.lit(None).cast("timestamp"))
+    marked = decided.join(told, "id", "left").withColumn("status", F.coalesce("decision", "status")).withColumn("reviewed_by", F.coalesce("_by", "reviewed_by")).withColumn("reviewed_at", F.when(F.col("decision").isNotNull(), now).otherwise(F.col("reviewed_at"))).drop("decision", "_by")
+    return after, marked
+
+
+def merge_entities(spark: SparkSession, store: dict[str, DataFrame], kind: str, approved: DataFrame, source_id: int, now: Column) -> dict[str, DataFrame]:
+    """The store after approved reviews (id, candidate_a_id, candidate_b_id, confidence_score) of a kind, in order of id."""
     stamp = [F.lit(source_id).alias("source_id"), now.alias("created_at")]
     versions, entity = store[f"{kind}_versions"], f"{kind}_id"
-    losers = current_versions(versions, entity).join(redirect, F.col(entity) == F.col("loser"))
-    ended = losers.select(F.xxhash64(entity, F.col("version_number") + 1).alias("id"), entity, (F.col("version_number") + 1).alias("version_number"), "name", "normalized_name", F.lit("superseded").alias("status"), *stamp)
-    moved = lambda df, typed: df.join(redirect, (F.col("entity_id") == F.col("loser")) & ((F.col("entity_type") == kind) if typed else F.lit(True)), "left").withColumn("entity_id", F.coalesce("winner", "entity_id")).select(df.columns)
-    names = losers.select(F.xxhash64("winner", "name").alias("id"), F.lit(kind).alias("entity_type"), F.col("winner").alias("entity_id"), F.col("name").alias("alias_text"), normalize_name(F.col("name")).alias("normalized_alias_text"), F.lit(None).cast("double").alias("confidence"), *stamp)
-    return store | {f"{kind}_versions": versions.unionByName(ended), "references": moved(store["references"], False), "aliases": moved(store["aliases"], True).unionByName(names)}
+    redirect, _ = Scratch(spark).keep(redirects(spark, approved))
+    nth = F.row_number().over(Window.partitionBy("loser").orderBy("review"))
+    merges = approved.select(F.col("id").alias("review"), F.col("candidate_b_id").alias("loser"), F.col("candidate_a_id").alias("into"), F.col("confidence_score").cast("double").alias("confidence")).withColumn("nth", nth)
+    losers = current_versions(versions, entity).join(merges, F.col(entity) == F.col("loser"))
+    ended = losers.select(F.xxhash64(entity, F.col("version_number") + F.col("nth")).alias("id"), entity, (F.col("version_number") + F.col("nth")).alias("version_number"), "name", "normalized_name", F.lit("superseded").alias("status"), *stamp)
+    aimed = redirect.select(F.col("loser").alias("_l"), F.col("winner").alias("_w"))
+    moved = lambda df, c, only: df.join(aimed, (F.col(c) == F.col("_l")) & only, "left").withColumn(c, F.coalesce("_w", c)).select(df.columns)
+    everywhere, typed = F.lit(True), F.col("entity_type") == kind
+    names = losers.select(F.xxhash64("into", "name", "review").alias("id"), F.lit(kind).alias("entity_type"), F.col("into").alias("entity_id"), F.col("name").alias("alias_text"), normalize_name(F.col("name")).alias("normalized_alias_text"), "confidence", F.lit(None).cast("int").alias("source_id"), stamp[1])
+    after = store | {f"{kind}_versions": versions.unionByName(ended), "references": moved(store["references"], "entity_id", everywhere), "aliases": moved(store["aliases"].unionByName(names), "entity_id", typed)}
+    if kind == "ingredient":
+        return after | {"product_ingredients": repoint_links(store["product_ingredients"], redirect, "product_version_id", "ingredient_id")}
+    return after | {"product_versions": moved(store["product_versions"], "manufacturer_id", everywhere)}

@@ -358,16 +358,23 @@ def schema_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def resolution_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The substances of all labels, in order of record and position, resolved from nothing."""
-    links = ingredient_links(spark, sf_dir).select((F.col("record_id") * 1000 + F.col("pos")).alias("ordinal"), "name", F.col("unii").alias("identifier"))
-    return resolve.resolve(spark, links)
-
-
-@query()
+    links, _ = Scratch(spark).keep(ingredient_links(spark, sf_dir))
+    numbered, _ = Scratch(spark).keep(store.dense_numbers(links, ["record_id", "pos"], "ordinal").select("ordinal", "name", F.col("unii").alias("identifier")))
+    return resolve.resolve(spark, numbered)
+
+
+@query(rf"""
+with recursive m as (select distinct id as k, upper(trim(candidate_b_id)) as loser, upper(trim(candidate_a_id)) as winner from entity_resolution_reviews where status = 'approved' and entity_type = 'ingredient'),
+e as (select * from m where loser is not null and winner is not null and loser <> winner),
+nx as (select e.k, min(n.k) as following from e join e n on n.loser = e.winner and n.k > e.k group by e.k),
+walk as (select e.loser, e.k from e join (select loser, min(k) as k from e group by loser) f on f.k = e.k union all select w.loser, nx.following from walk w join nx on nx.k = w.k),
+ends as (select loser, max(k) as k from walk group by loser)
+select f.loser, e.winner from ends f join e on e.k = f.k where f.loser <> e.winner""")
 def review_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approved ingredient reviews applied: where each merged id goes."""
+    """Approved ingredient reviews applied in order of id: where each merged id goes."""
     asked = read_table(spark, sf_dir, "entity_resolution_reviews").where("status = 'approved' and entity_type = 'ingredient'")
     clean = lambda c: F.upper(F.trim(c)).alias(c)
-    return resolve.redirects(spark, asked.select(clean("candidate_a_id"), clean("candidate_b_id")))
+    return resolve.redirects(spark, asked.select("id", clean("candidate_a_id"), clean("candidate_b_id")).distinct())
 
 
 # -- search ---------------------------------------------------------------------------------------------

@@ -106,9 +106,13 @@ def test_resolution_tiers(spark):
 
 
 def test_redirects_and_links(spark):
-    asked = spark.createDataFrame([("B", "C"), ("A", "B"), ("X", "Y")], "candidate_a_id string, candidate_b_id string")
+    asked = spark.createDataFrame([(1, "B", "C"), (2, "A", "B"), (3, "X", "Y"), (4, "Z9", "Z1"), (5, "P", "Q"), (6, "Q", "P"), (7, None, "N"), (8, "S", "S")], "id long, candidate_a_id string, candidate_b_id string")
     moved = resolve.redirects(spark, asked)
-    assert {tuple(x) for x in moved.select("loser", "winner").collect()} == {("B", "A"), ("C", "A"), ("Y", "X")}
+    assert {tuple(x) for x in moved.select("loser", "winner").collect()} == {("B", "A"), ("C", "A"), ("Y", "X"), ("Z1", "Z9"), ("P", "Q")}
+    chain = spark.createDataFrame([(n, f"E{n + 1}", f"E{n}") for n in range(40)], "id long, candidate_a_id string, candidate_b_id string")
+    assert {x.winner for x in resolve.redirects(spark, chain).collect()} == {"E40"}
+    # a merge goes on only with later ones
+    assert {tuple(x) for x in resolve.redirects(spark, asked.where("id <= 2").withColumn("id", -F.col("id"))).select("loser", "winner").collect()} == {("B", "A"), ("C", "B")}
     links = spark.createDataFrame([(1, "A", "active"), (1, "C", "inactive"), (2, "C", "inactive"), (2, "B", "active"), (3, "Z", None)], "p long, i string, role string")
     got = store.repoint_links(links, moved, "p", "i")
     assert sorted(map(tuple, got.collect())) == [(1, "A", "active"), (2, "A", "active"), (3, "Z", None)]
