@@ -1,7 +1,8 @@
 """Full-text vectors: tokens, English stop words, the Porter2 stemmer, match and rank.
 
-A vector is map<lexeme, array<position>>. Stemming needs Python; it runs once, when vectors are made,
-over the distinct words of a batch. Match and rank are JVM expressions over vectors.
+A vector is map<lexeme, array<position>>. Texts are split in the JVM; stemming needs Python and runs over
+the distinct words of each Arrow batch, whose vectors are put together by sorting whole columns. Match and
+rank are JVM expressions over vectors. Postings (id, lexeme, positions) are the same, one row a lexeme.
 Known differences from a database's parser: hyphenated words, addresses and file-like tokens are
 split at every character that is no letter or digit.
 """
@@ -11,8 +12,9 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType
 
@@ -134,32 +136,50 @@ def tokens(text: str) -> list[tuple[str, int]]:
     return [(stem(x), i + 1) for i, x in enumerate(words) if x not in _STOP]
 
 
-def _vectors(texts: pd.Series) -> pd.Series:
-    def one(text):
-        if not isinstance(text, str):
-            return None
-        found: dict[str, list[int]] = {}
-        for lexeme, at in tokens(text):
-            found.setdefault(lexeme, []).append(at)
-        return found
+def _vectors(words: pa.Array) -> pa.Array:
+    """The vectors of lists of words; null of null."""
+    distinct = words.flatten().dictionary_encode()
+    stems = [None if x in _STOP or not x else stem(x) for x in distinct.dictionary.to_pylist()]
+    lexemes = sorted({x for x in stems if x is not None})
+    number = {x: i for i, x in enumerate(lexemes)}
+    code = np.array([number.get(x, -1) for x in stems], np.int64)[distinct.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, np.int64)
+    lengths = np.array([0 if n is None else n for n in pa.compute.list_value_length(words).to_pylist()], np.int64)
+    row = np.repeat(np.arange(len(words)), lengths)
+    at = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
+    kept = code >= 0
+    row, code, at = row[kept], code[kept], at[kept]
+    order = np.lexsort((at, code, row))
+    row, code, at = row[order], code[order], at[order]
+    fresh = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])]) if len(row) else np.zeros(0, np.int64)
+    places = pa.ListArray.from_arrays(pa.array(np.r_[fresh, len(row)].astype(np.int32)), pa.array(at.astype(np.int32)))
+    keys = pa.array([lexemes[c] for c in code[fresh]], pa.string())
+    starts = np.searchsorted(row[fresh], np.arange(len(words) + 1)).astype(np.int32)
+    held = pa.MapArray.from_arrays(pa.array(starts), keys, places)
+    if words.null_count:
+        held = pa.array([None if gone else x for gone, x in zip(words.is_null().to_pylist(), held.to_pylist())], held.type)
+    return held
+
 
-    return texts.map(one)
+def words_of(text: Column) -> Column:
+    """The words of a text in order, longest runs of letters and digits in lower case."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def to_vector(text: Column) -> Column:
     """The vector of a text; null of null."""
-    return F.pandas_udf(_vectors, MapType(StringType(), ArrayType(IntegerType())))(text)
-
-
-def plain_vector(text: Column, terms: list[str]) -> Column:
-    """The part of a text's vector that a query of these terms needs, made in the JVM: one pass over the
-    words, without stemming or stop words."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-    asked = F.array(*map(F.lit, terms))
-    placed = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), (i + 1).alias("p"))), lambda x: F.array_contains(asked, x["w"]))
-    at = lambda t: F.transform(F.filter(placed, lambda x: x["w"] == t), lambda x: x["p"])
-    entries = F.filter(F.array(*(F.struct(F.lit(t).alias("key"), at(t).alias("value")) for t in terms)), lambda e: F.size(e["value"]) > 0)
-    return F.map_from_entries(entries)
+    return F.arrow_udf(_vectors, MapType(StringType(), ArrayType(IntegerType())))(words_of(text))
+
+
+def postings(df: DataFrame, key: str, text: str) -> DataFrame:
+    """id, lexeme, positions of df's texts; rows with equal key and text count once."""
+    once = df.select(F.col(key).alias("id"), F.col(text).alias("t")).where("t is not null").distinct()
+    return once.select("id", F.explode(to_vector(F.col("t"))).alias("lexeme", "positions"))
+
+
+def vectors_from(posted: DataFrame, terms: list[str]) -> DataFrame:
+    """id, search_vector of the texts that hold any of the terms, of which alone the vectors tell."""
+    held = posted.where(F.col("lexeme").isin(terms)) if terms else posted.where(F.lit(False))
+    return held.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "positions"))).alias("search_vector"))
 
 
 def all_terms(query: str) -> list[str]:

@@ -34,7 +34,7 @@ def source_health(logs: DataFrame, dead: DataFrame, now: Column) -> DataFrame:
 
 
 def daily_trend(logs: DataFrame, dead: DataFrame, reviews: DataFrame, since: Column) -> DataFrame:
-    """One row a source and day that has runs: records, failure rate, dead letters, reviews of all sources.
+    """One row a source and day that has runs, in order of days: records, failure rate, dead letters, reviews of all sources.
 
     since is an instant, so the first day may be partial; days without runs have no row."""
     runs = logs.where(F.col("started_at") >= since).groupBy("source", F.to_date("started_at").alias("day")).agg(
@@ -45,7 +45,7 @@ def daily_trend(logs: DataFrame, dead: DataFrame, reviews: DataFrame, since: Col
     return runs.join(letters, ["source", "day"], "left").join(asked, "day", "left").select(
         "source", F.date_format("day", "yyyy-MM-dd").alias("day"), "fetched", ratio(F.col("rejected"), F.col("fetched")).alias("failure_rate"),
         F.coalesce("dead", F.lit(0)).alias("dead_letters"), F.coalesce("asked", F.lit(0)).alias("reviews_created"),
-    )
+    ).orderBy("day", "source")
 
 
 def review_backlog(reviews: DataFrame, now: Column) -> DataFrame:
@@ -56,9 +56,9 @@ def review_backlog(reviews: DataFrame, now: Column) -> DataFrame:
 
 
 def run_counters(outcomes: DataFrame) -> DataFrame:
-    """records_created, _updated, _unchanged, _rejected of (run_id, outcome), in one aggregation."""
+    """records_fetched, _validated, _created, _updated, _unchanged, _rejected of (run_id, outcome), in one aggregation."""
     count = lambda o: F.sum(F.when(F.col("outcome") == o, 1).otherwise(0)).alias(f"records_{o}")
-    return outcomes.groupBy("run_id").agg(F.count("*").alias("records_fetched"), *map(count, ("created", "updated", "unchanged", "rejected")))
+    return outcomes.groupBy("run_id").agg(F.count("*").alias("records_fetched"), F.sum(F.when(F.col("outcome") == "rejected", 0).otherwise(1)).alias("records_validated"), *map(count, ("created", "updated", "unchanged", "rejected")))
 
 
 def resumable_run(logs: DataFrame) -> DataFrame:

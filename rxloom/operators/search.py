@@ -1,8 +1,8 @@
 """Ranked search over ingredients, products, warnings and recalls, and evidence retrieval.
 
 Each search is one plan: match and rank, top k, then the joins that fill in what belongs to the k
-hits; the k rows are the broadcast side, so no table is shuffled for them. Matching reads vectors
-made when a table is written (``with_vectors``).
+hits; the k rows are the broadcast side, so no table is shuffled for them. Matching reads postings made
+when a table is written (``write_postings``), sorted by lexeme, so that a query reads only its lexemes'.
 
 By default: warnings of superseded product versions and recalls of any status are found, and an alias
 finds an entity of any status; strict=True keeps to current and active ones. Equal ranks are
@@ -11,7 +11,7 @@ ordered by id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rxloom.functions import fts
@@ -22,8 +22,20 @@ OVER_FETCH = 5
 TYPES = ["ingredient", "product", "warning", "recall"]
 
 
-def with_vectors(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn("search_vector", fts.to_vector(F.col(column)))
+#: The searched tables: their key and their text.
+SEARCHED = {"ingredient_versions": ("id", "name"), "product_versions": ("id", "name"), "warnings": ("id", "text"), "recalls": ("id", "reason"), "aliases": ("id", "alias_text")}
+
+
+def write_postings(store: dict, path: str) -> None:
+    """One folder of postings for each searched table, in ranges of lexemes."""
+    for t, (key, text) in SEARCHED.items():
+        if t in store:
+            fts.postings(store[t], key, text).repartitionByRange("lexeme").sortWithinPartitions("lexeme").write.mode("overwrite").parquet(f"{path}/{t}")
+
+
+def with_postings(spark: SparkSession, store: dict, path: str) -> dict:
+    """The store with the written postings of its tables, as '<table>_postings'."""
+    return store | {f"{t}_postings": spark.read.parquet(f"{path}/{t}") for t in SEARCHED if t in store}
 
 
 def provenance(df: DataFrame, sources: DataFrame) -> DataFrame:
@@ -33,17 +45,25 @@ def provenance(df: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def _query(text: str, any_word: bool) -> tuple:
+    """(terms, match, rank) of a query text."""
     groups = fts.any_groups(text)
+    terms = list(dict.fromkeys(t for g in groups for t in g))
     if any_word and groups:
-        terms = list(dict.fromkeys(t for g in groups for t in g))
-        return (lambda v: fts.matches_any(v, groups)), (lambda v: fts.rank_any(v, terms))
+        return terms, (lambda v: fts.matches_any(v, groups)), (lambda v: fts.rank_any(v, terms))
     terms = fts.all_terms(text)
-    return (lambda v: fts.matches_all(v, terms)), (lambda v: fts.rank_all(v, terms))
+    return terms, (lambda v: fts.matches_all(v, terms)), (lambda v: fts.rank_all(v, terms))
 
 
-def _hits(df: DataFrame, query: str, any_word: bool, limit: int, key: str) -> DataFrame:
-    match, rank = _query(query, any_word)
-    return df.where(match(F.col("search_vector"))).withColumn("rank", rank(F.col("search_vector"))).drop("search_vector").orderBy(F.desc("rank"), key).limit(limit)
+def _ranked(store: dict, table: str, query: str, any_word: bool) -> DataFrame:
+    """id, rank of the rows of a table that match."""
+    terms, match, rank = _query(query, any_word)
+    vector = F.col("search_vector")
+    return fts.vectors_from(store[f"{table}_postings"], terms).where(match(vector)).select("id", rank(vector).alias("rank"))
+
+
+def _hits(ranked: DataFrame, df: DataFrame, limit: int, key: str) -> DataFrame:
+    """The first `limit` matching rows of df; matches are found before anything else is read."""
+    return df.join(ranked, "id").orderBy(F.desc("rank"), key).limit(limit)
 
 
 def current_links(product_versions: DataFrame, product_ingredients: DataFrame) -> DataFrame:
@@ -55,12 +75,10 @@ def current_links(product_versions: DataFrame, product_ingredients: DataFrame) -
 def search_ingredients(store: dict, query: str, limit: int = 20, any_word: bool = False, strict: bool = False) -> DataFrame:
     """id, name, rank, product_ids, source. The best rank of name and aliases; the limit comes before
     entities without a current version are dropped. Without store['aliases'] only names are searched."""
-    match, rank = _query(query, any_word)
-    vector = F.col("search_vector")
     now = current_versions(store["ingredient_versions"], "ingredient_id")
-    found = now.where((F.col("status") == "active") & match(vector)).select("ingredient_id", rank(vector).alias("rank"))
+    found = now.where("status = 'active'").join(_ranked(store, "ingredient_versions", query, any_word), "id").select("ingredient_id", "rank")
     if "aliases" in store:
-        own = store["aliases"].where((F.col("entity_type") == "ingredient") & match(vector)).select(F.col("entity_id").alias("ingredient_id"), rank(vector).alias("rank"))
+        own = store["aliases"].where("entity_type = 'ingredient'").join(_ranked(store, "aliases", query, any_word), "id").select(F.col("entity_id").alias("ingredient_id"), "rank")
         found = found.unionByName(own.join(now.where("status = 'active'").select("ingredient_id"), "ingredient_id", "left_semi") if strict else own)
     best = found.groupBy("ingredient_id").agg(F.max("rank").alias("rank")).orderBy(F.desc("rank"), "ingredient_id").limit(limit)
     named = now.join(F.broadcast(best), "ingredient_id").select("ingredient_id", "name", "rank", "source_id")
@@ -70,15 +88,15 @@ def search_ingredients(store: dict, query: str, limit: int = 20, any_word: bool
     return provenance(whole, store["sources"]).withColumnRenamed("ingredient_id", "id")
 
 
-def nest_products(store: dict, hits: DataFrame) -> DataFrame:
+def nest_products(store: dict, hits: DataFrame, bounded: bool = True) -> DataFrame:
     """Adds manufacturer, ingredients, warnings, recalls, external_url to hits (product_id, id,
-    version_number, manufacturer_id, source_id ...), a bounded number of rows."""
-    few = F.broadcast(hits)
+    version_number, manufacturer_id, source_id ...). A bounded number of hits is broadcast."""
+    few = F.broadcast(hits) if bounded else hits
     makers = current_versions(store["manufacturer_versions"], "manufacturer_id").select("manufacturer_id", F.struct(F.col("manufacturer_id").alias("id"), "name").alias("manufacturer"))
     names = current_versions(store["ingredient_versions"], "ingredient_id").select("ingredient_id", F.col("name").alias("_name"))
     links = store["product_ingredients"].select("product_version_id", "ingredient_id", "role").distinct().join(few.select(F.col("id").alias("product_version_id"), "product_id"), "product_version_id")
     ingredients = links.join(names, "ingredient_id").groupBy("product_id").agg(F.sort_array(F.collect_list(F.struct(F.col("ingredient_id").alias("id"), F.col("_name").alias("name"), "role"))).alias("ingredients"))
-    said = store["warnings"].where("status = 'active'").join(few.select("product_id", "version_number"), ["product_id", "version_number"])
+    said = store["warnings"].where("status = 'active'").join(few.select("product_id", "version_number"), ["product_id", "version_number"]).dropDuplicates(["id"])
     warnings = said.groupBy("product_id").agg(F.sort_array(F.collect_list(F.struct("category", "text"))).alias("warnings"))
     whole = hits.join(makers, "manufacturer_id", "left").join(ingredients, "product_id", "left").join(warnings, "product_id", "left")
     if "recalls" in store:
@@ -97,16 +115,17 @@ def product_urls(store: dict, products: DataFrame) -> DataFrame:
 
 def search_products(store: dict, query: str, limit: int = 20, any_word: bool = False) -> DataFrame:
     now = current_versions(store["product_versions"], "product_id").where("status = 'active'")
-    return nest_products(store, _hits(now, query, any_word, limit, "product_id"))
+    return nest_products(store, _hits(_ranked(store, "product_versions", query, any_word), now, limit, "product_id"))
 
 
 def search_warnings(store: dict, query: str, limit: int = 20, any_word: bool = False, strict: bool = False) -> DataFrame:
     """id, category, text, rank, product, source, external_url; a product without a name is '?'."""
     now = current_versions(store["product_versions"], "product_id").select("product_id", "name", F.col("version_number").alias("_v"))
-    said = store["warnings"].where("status = 'active'").dropDuplicates(["id"])
+    said = store["warnings"].where("status = 'active'").select("id", "product_id", "category", "text", "version_number", "source_id")
     if strict:
         said = said.join(now, "product_id").where("version_number = _v").drop("name", "_v")
-    hits = _hits(said, query, any_word, limit, "id")
+    matching = said.join(_ranked(store, "warnings", query, any_word), "id").dropDuplicates(["id"])
+    hits = matching.orderBy(F.desc("rank"), "id").limit(limit)
     whole = hits.join(now.join(F.broadcast(hits.select("product_id").distinct()), "product_id"), "product_id", "left").join(product_urls(store, hits.select("product_id")), "product_id", "left")
     product = F.struct(F.col("product_id").alias("id"), F.coalesce("name", F.lit("?")).alias("name"))
     return provenance(whole.select("id", "category", "text", "rank", product.alias("product"), "external_url", "source_id"), store["sources"])
@@ -115,7 +134,7 @@ def search_warnings(store: dict, query: str, limit: int = 20, any_word: bool = F
 def search_recalls(store: dict, query: str, limit: int = 20, any_word: bool = False, strict: bool = False) -> DataFrame:
     """id, reason, classification, status, rank, product, manufacturer, source, external_url."""
     held = store["recalls"].where("status = 'ongoing'") if strict else store["recalls"]
-    hits = _hits(held, query, any_word, limit, "id")
+    hits = _hits(_ranked(store, "recalls", query, any_word), held, limit, "id")
     products = current_versions(store["product_versions"], "product_id").select("product_id", F.struct(F.col("product_id").alias("id"), "name").alias("product"))
     makers = current_versions(store["manufacturer_versions"], "manufacturer_id").select("manufacturer_id", F.struct(F.col("manufacturer_id").alias("id"), "name").alias("manufacturer"))
     whole = hits.join(products, "product_id", "left").join(makers, "manufacturer_id", "left").join(product_urls(store, hits.select("product_id").where("product_id is not null")), "product_id", "left")
@@ -124,8 +143,7 @@ def search_recalls(store: dict, query: str, limit: int = 20, any_word: bool = Fa
 
 
 def alias_confidence(store: dict, query: str, any_word: bool = False) -> DataFrame:
-    match, _ = _query(query, any_word)
-    held = store["aliases"].where((F.col("entity_type") == "ingredient") & match(F.col("search_vector")))
+    held = store["aliases"].where("entity_type = 'ingredient'").join(_ranked(store, "aliases", query, any_word), "id")
     return held.groupBy(F.col("entity_id").alias("id")).agg(F.max("confidence").alias("entity_resolution_confidence"))
 
 

@@ -127,23 +127,26 @@ _ALTERED = """
 with v as (select distinct * from product_versions),
 top as (select product_id, max(version_number) as top from v group by product_id),
 ing as (select product_version_id, list_sort(list(distinct ingredient_id || ':' || role)) as ings from product_ingredients group by product_version_id),
-cand as (select v.*, i.ings, t.top, row_number() over (partition by v.product_id, v.version_number order by v.id desc) as rn from v join top t on t.product_id = v.product_id left join ing i on i.product_version_id = v.id),
+warn as (select product_id, version_number, string_agg(md5(concat_ws('|', category, text)), ',' order by md5(concat_ws('|', category, text))) as warns from (select distinct id, product_id, version_number, category, text from label_warnings) group by all),
+cand as (select v.*, i.ings, w.warns, t.top, row_number() over (partition by v.product_id, v.version_number order by v.id desc) as rn from v join top t on t.product_id = v.product_id left join ing i on i.product_version_id = v.id left join warn w on w.product_id = v.product_id and w.version_number = v.version_number),
 """
 
 
 @query(_ALTERED + """
 inc as (select * from cand where version_number = top and rn = 1), old as (select * from (select *, row_number() over (partition by product_id order by version_number desc) as nth from cand where version_number < top and rn = 1) where nth = 1)
 select i.product_id, case when o.product_id is null then 'created'
-  when o.name is not distinct from i.name and o.product_type is not distinct from i.product_type and o.manufacturer_id is not distinct from i.manufacturer_id and o.ings is not distinct from i.ings then 'unchanged' else 'updated' end as outcome
+  when o.name is not distinct from i.name and o.product_type is not distinct from i.product_type and o.manufacturer_id is not distinct from i.manufacturer_id and o.ings is not distinct from i.ings and o.warns is not distinct from i.warns then 'unchanged' else 'updated' end as outcome
 from inc i left join old o on o.product_id = i.product_id""")
 def upsert_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest version of each product as if it came in, against the version before it."""
     v = _versions(spark, sf_dir, "product")
     links = read_table(spark, sf_dir, "product_ingredients").groupBy(F.col("product_version_id").alias("id")).agg(F.sort_array(F.collect_set(F.concat("ingredient_id", F.lit(":"), "role"))).alias("ings"))
-    one = store.first_by_key(v.withColumn("_o", -F.col("id")), ["product_id", "version_number"], ["_o"]).join(links, "id", "left")
+    said = read_table(spark, sf_dir, "label_warnings").select("id", "product_id", "version_number", "category", "text").distinct()
+    warns = said.groupBy("product_id", "version_number").agg(F.array_join(F.sort_array(F.collect_list(F.md5(F.concat_ws("|", "category", "text")))), ",").alias("warns"))
+    one = store.first_by_key(v.withColumn("_o", -F.col("id")), ["product_id", "version_number"], ["_o"]).join(links, "id", "left").join(warns, ["product_id", "version_number"], "left")
     incoming = store.current_versions(one, "product_id")
     before = one.join(incoming.select("product_id", F.col("version_number").alias("_top")), "product_id").where("version_number < _top").drop("_top")
-    return store.upsert_outcomes(incoming, store.current_versions(before, "product_id"), "product_id", ["name", "product_type", "manufacturer_id", "ings"])
+    return store.upsert_outcomes(incoming, store.current_versions(before, "product_id"), "product_id", ["name", "product_type", "manufacturer_id", "ings", "warns"])
 
 
 @query("""select product_version_id, ingredient_id, role, unit from (select *, row_number() over (partition by product_version_id, ingredient_id order by role nulls first, quantity nulls first, unit nulls first) as rn from product_ingredients) where rn = 1""")
@@ -183,42 +186,49 @@ def next_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- joins ------------------------------------------------------------------------------------------------
 
 
-def _store(spark: SparkSession, sf_dir: str, vectors: bool = False) -> dict:
+_INDEXES: dict = {}
+
+
+def _store(spark: SparkSession, sf_dir: str, searched: bool = False) -> dict:
+    """The tables; with ``searched`` also their postings, which an application writes once for each folder."""
     held = {f"{k}_versions": _versions(spark, sf_dir, k) for k in ("ingredient", "manufacturer", "product")}
-    held["warnings"] = read_table(spark, sf_dir, "label_warnings").distinct()
+    held["warnings"] = read_table(spark, sf_dir, "label_warnings")
     held["product_ingredients"] = read_table(spark, sf_dir, "product_ingredients")
     held["sources"] = F.broadcast(read_table(spark, sf_dir, "source_runs"))
     notices = read_table(spark, sf_dir, "documents").where("source = 'recall_notice' and text is not null")
     none = F.lit(None).cast("string")
     held["recalls"] = notices.select(F.col("doc_id").alias("id"), F.format_string("PRD-%09d", F.col("doc_id")).alias("product_id"), none.alias("manufacturer_id"), F.col("text").alias("reason"), F.lit("class_ii").alias("classification"),
                                      F.when(F.col("doc_id") % 3 == 0, "terminated").otherwise("ongoing").alias("status"), (F.col("doc_id") % 600 + 1).cast("int").alias("source_id"))
-    first = held["ingredient_versions"].where("version_number = 1").select(F.lit("ingredient").alias("entity_type"), F.col("ingredient_id").alias("entity_id"), F.col("name").alias("alias_text"), F.lit(0.9).alias("confidence"))
-    held["aliases"] = first
-    if vectors:
-        for t, c in (("ingredient_versions", "name"), ("product_versions", "name"), ("warnings", "text"), ("recalls", "reason"), ("aliases", "alias_text")):
-            held[t] = search.with_vectors(held[t], c)
+    held["aliases"] = held["ingredient_versions"].where("version_number = 1").select("id", F.lit("ingredient").alias("entity_type"), F.col("ingredient_id").alias("entity_id"), F.col("name").alias("alias_text"), F.lit(0.9).alias("confidence"))
+    if searched:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _INDEXES:
+            at = f"{Scratch(spark).root}/postings"
+            search.write_postings(held, at)
+            _INDEXES[key] = at
+        held = search.with_postings(spark, held, _INDEXES[key])
     return held
 
 
 @query(f"""
-with p as {_now('product', 'product_id, id, version_number, name, manufacturer_id')}, m as {_now('manufacturer', 'manufacturer_id, name')}, i as {_now('ingredient', 'ingredient_id, name')},
+with p as {_now('product', 'product_id, id, version_number, name, manufacturer_id, source_id')}, m as {_now('manufacturer', 'manufacturer_id, name')}, i as {_now('ingredient', 'ingredient_id, name')},
 links as (select distinct product_version_id, ingredient_id, role from product_ingredients),
-ings as (select p.product_id, string_agg(i.ingredient_id || ':' || i.name || ':' || l.role, '; ' order by i.ingredient_id, l.role) as ingredients from p join links l on l.product_version_id = p.id join i on i.ingredient_id = l.ingredient_id group by p.product_id),
-warn as (select p.product_id, count(*) as warnings, string_agg(w.id::varchar, ',' order by w.id) as warning_ids from p join (select distinct * from label_warnings) w on w.product_id = p.product_id and w.version_number = p.version_number and w.status = 'active' group by p.product_id)
-select p.product_id, p.name, m.name as manufacturer, coalesce(ings.ingredients, '') as ingredients, coalesce(warn.warnings, 0) as warnings, coalesce(warn.warning_ids, '') as warning_ids
-from p left join m on m.manufacturer_id = p.manufacturer_id left join ings on ings.product_id = p.product_id left join warn on warn.product_id = p.product_id""")
+ings as (select p.product_id, string_agg(concat_ws(':', i.ingredient_id, i.name, l.role), '; ' order by i.ingredient_id, i.name nulls first, l.role nulls first) as ingredients from p join links l on l.product_version_id = p.id join i on i.ingredient_id = l.ingredient_id group by p.product_id),
+said as (select p.product_id, md5(concat_ws('|', w.category, w.text)) as h from p join (select distinct id, product_id, version_number, category, text from label_warnings where status = 'active') w on w.product_id = p.product_id and w.version_number = p.version_number),
+warn as (select product_id, string_agg(h, ',' order by h) as warnings from said group by product_id),
+rec as (select p.product_id, string_agg(d.doc_id::varchar, ',' order by d.doc_id) as recalls from p join documents d on p.product_id = 'PRD-' || lpad(d.doc_id::varchar, 9, '0') where d.source = 'recall_notice' and d.text is not null group by p.product_id)
+select p.product_id, p.name, m.name as manufacturer, coalesce(ings.ingredients, '') as ingredients, coalesce(warn.warnings, '') as warnings, coalesce(rec.recalls, '') as recalls, r.source_system, r.endpoint_or_document_type
+from p join source_runs r on r.id = p.source_id left join m on m.manufacturer_id = p.manufacturer_id left join ings on ings.product_id = p.product_id left join warn on warn.product_id = p.product_id left join rec on rec.product_id = p.product_id""")
 def product_hit_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All products with their current associations, flattened to texts."""
     s = _store(spark, sf_dir)
-    p = store.current_versions(s["product_versions"], "product_id").select("product_id", "id", "version_number", "name", "manufacturer_id")
-    m = store.current_versions(s["manufacturer_versions"], "manufacturer_id").select("manufacturer_id", F.col("name").alias("manufacturer"))
-    i = store.current_versions(s["ingredient_versions"], "ingredient_id").select("ingredient_id", F.col("name").alias("iname"))
-    links = s["product_ingredients"].select("product_version_id", "ingredient_id", "role").distinct().join(p.select("product_id", F.col("id").alias("product_version_id")), "product_version_id").join(i, "ingredient_id")
-    told = F.transform(F.sort_array(F.collect_list(F.struct("ingredient_id", "role", "iname"))), lambda x: F.concat_ws(":", x["ingredient_id"], x["iname"], x["role"]))
-    ings = links.where("iname is not null and role is not null").groupBy("product_id").agg(F.array_join(told, "; ").alias("ingredients"))
-    w = s["warnings"].where("status = 'active'").join(p.select("product_id", "version_number"), ["product_id", "version_number"]).groupBy("product_id").agg(F.count("*").alias("warnings"), F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("warning_ids"))
-    return p.join(m, "manufacturer_id", "left").join(ings, "product_id", "left").join(w, "product_id", "left").select(
-        "product_id", "name", "manufacturer", F.coalesce("ingredients", F.lit("")).alias("ingredients"), F.coalesce("warnings", F.lit(0)).alias("warnings"), F.coalesce("warning_ids", F.lit("")).alias("warning_ids")
+    hits = store.current_versions(s["product_versions"], "product_id").select("product_id", "id", "version_number", "name", "manufacturer_id", "source_id")
+    whole = search.nest_products(s, hits, bounded=False)
+    joined = lambda items, part, sep: F.coalesce(F.array_join(F.transform(items, part), sep), F.lit(""))
+    return whole.select(
+        "product_id", "name", F.col("manufacturer.name").alias("manufacturer"), joined("ingredients", lambda i: F.concat_ws(":", i["id"], i["name"], i["role"]), "; ").alias("ingredients"),
+        F.coalesce(F.array_join(F.sort_array(F.transform("warnings", lambda w: F.md5(F.concat_ws("|", w["category"], w["text"])))), ","), F.lit("")).alias("warnings"),
+        joined("recalls", lambda r: r["id"].cast("string"), ",").alias("recalls"), "source.source_system", "source.endpoint_or_document_type",
     )
 
 
@@ -293,7 +303,7 @@ _OUTCOME = "case when status = 'retracted' then 'rejected' when version_number =
 
 
 @query(f"""with o as (select source_id as run_id, {_OUTCOME} as outcome from product_versions)
-select run_id, count(*) as records_fetched, {', '.join(f"sum(case when outcome = '{o}' then 1 else 0 end)::bigint as records_{o}" for o in ('created', 'updated', 'unchanged', 'rejected'))} from o group by run_id""")
+select run_id, count(*) as records_fetched, sum(case when outcome = 'rejected' then 0 else 1 end)::bigint as records_validated, {', '.join(f"sum(case when outcome = '{o}' then 1 else 0 end)::bigint as records_{o}" for o in ('created', 'updated', 'unchanged', 'rejected'))} from o group by run_id""")
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observability.run_counters(read_table(spark, sf_dir, "product_versions").select(F.col("source_id").alias("run_id"), F.expr(_OUTCOME).alias("outcome")))
 
@@ -324,11 +334,11 @@ def validate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.distinct()
 
 
-@query("""select distinct 'validation' as stage, record_id::varchar as record_identifier, set_id as raw_payload, concat_ws('; ', case when coalesce(brand_name, '') = '' and coalesce(generic_name, '') = '' then 'no brand or generic name' end,
+@query("""select distinct 'validation' as stage, record_id::varchar as record_identifier, raw as raw_payload, concat_ws('; ', case when coalesce(brand_name, '') = '' and coalesce(generic_name, '') = '' then 'no brand or generic name' end,
   case when coalesce(len(substance_name), 0) = 0 then 'no substance name' end) as error_message from label_records where (coalesce(brand_name, '') = '' and coalesce(generic_name, '') = '') or coalesce(len(substance_name), 0) = 0""")
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "label_records").withColumn("reason", ingest.label_reasons(F.col("brand_name"), F.col("generic_name"), F.col("substance_name")))
-    return ingest.dead_letters(d, "validation", "reason", "record_id", F.col("set_id")).distinct()
+    return ingest.dead_letters(d, "validation", "reason", "record_id", F.col("raw")).distinct()
 
 
 @query("""select distinct record_id, n.pos - 1 as pos, n.name as name, nullif(unii[n.pos], '') as unii from (select record_id, unii, unnest(list_transform(range(1, len(substance_name) + 1), lambda i: {'pos': i, 'name': substance_name[i]})) as n from label_records)""")
@@ -380,36 +390,57 @@ def review_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- search ---------------------------------------------------------------------------------------------
 
 
-_V = """v as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') as w from documents where text is not null),
-o as (select doc_id, w[i] as t, i as p from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from v))"""
-_TERMS = ["exceed", "tablet", "patients"]
-_IN = "('exceed', 'tablet', 'patients')"
+#: For SQL, which has no stemmer: the words that have each lexeme of the queries below, as whole-word patterns.
+_FORMS = {
+    "exceed": "exceed(s|ed|ing|ingly|ance|ances)?", "tablet": "tablets?", "patient": "patient(s|ly)?", "sever": "sever(e|ed|ing|ely|ity|ities|s)?", "injuri": "injur(y|ies|ious|iously)", "stomach": "stomachs?",
+    "voluntarili": "voluntarily", "recal": "recall(s|ed|ing)?", "torn": "torns?", "seal": "seal(s|ed|ing)?", "sodium": "sodiums?", "acet": "acetate(s|d)?|acetic",
+}
+
+
+def _lexemes(table: str, key: str, text: str, terms: list[str], where: str = "true") -> str:
+    """CTE o: key, t, p of the words of a table that have one of the terms."""
+    picked = " ".join(f"when regexp_full_match(w, '{_FORMS[t]}') then '{t}'" for t in terms)
+    return f"""v as (select distinct {key} as id, {text} as text from {table} where {text} is not null and {where}), l as (select id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as ws from v),
+o as (select id, t, p from (select id, p, case {picked} end as t from (select id, ws[p] as w, p from (select id, ws, unnest(range(1, len(ws) + 1)) as p from l))) where t is not null)"""
+
+
+_AND_RANK = """m as (select id from o group by id having count(distinct t) = {n}),
+c as (select a.id, 0.1 * sqrt(case when abs(a.p - b.p) > 100 then 1e-30 else 1 / (1.005 + 0.05 * exp(abs(a.p - b.p) / 1.5 - 2)) end) as c from o a join o b on a.id = b.id and a.t < b.t join m on m.id = a.id),
+ranked as (select id, 1 - exp(sum(ln(1 - c))) as rank from c group by id)"""
+_OR_RANK = "ranked as (select id, sum(0.1 / (j * j)) / 1.64493406685 / {n} as rank from (select id, row_number() over (partition by id, t order by p) as j from o) group by id)"
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", fts.plain_vector(F.col("text"), _TERMS).alias("v"))
+    return read_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", fts.to_vector(F.col("text")).alias("v"))
 
 
-@query(f"with {_V} select doc_id from o where t in {_IN} group by doc_id having count(distinct t) = 3")
+@query(f"with {_lexemes('documents', 'doc_id', 'text', ['exceed', 'tablet', 'patient'])} select id as doc_id from o group by id having count(distinct t) = 3")
 def fts_match_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vectors(spark, sf_dir).where(fts.matches_all(F.col("v"), _TERMS)).select("doc_id")
+    """All words but the stop words; plurals and other forms match."""
+    return _vectors(spark, sf_dir).where(fts.matches_all(F.col("v"), fts.all_terms("the patients should not exceed tablets"))).select("doc_id")
 
 
-@query(f"with {_V}, r as (select doc_id, t, p, row_number() over (partition by doc_id, t order by p) as j from o where t in {_IN}) select doc_id, round(sum(0.1 / (j * j)) / 1.64493406685 / 3, 6) as rank from r group by doc_id")
+@query(f"with {_lexemes('documents', 'doc_id', 'text', ['exceed', 'tablet', 'patient'])}, {_OR_RANK.format(n=3)} select id as doc_id, round(rank, 6) as rank from ranked")
 def fts_rank_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = _vectors(spark, sf_dir).where(fts.matches_any(F.col("v"), [[t] for t in _TERMS]))
-    return held.select("doc_id", F.round(fts.rank_any(F.col("v"), _TERMS), 6).alias("rank"))
+    groups = fts.any_groups("patients exceeding a tablet")
+    terms = [t for g in groups for t in g]
+    return _vectors(spark, sf_dir).where(fts.matches_any(F.col("v"), groups)).select("doc_id", F.round(fts.rank_any(F.col("v"), terms), 6).alias("rank"))
 
 
-@query(f"""with {_V}, d as (select doc_id from o where t in ('exceed', 'tablet') group by doc_id having count(distinct t) = 2),
-c as (select a.doc_id, 0.1 * sqrt(case when abs(a.p - b.p) > 100 then 1e-30 else 1 / (1.005 + 0.05 * exp(abs(a.p - b.p) / 1.5 - 2)) end) as c from o a join o b on a.doc_id = b.doc_id and a.t = 'exceed' and b.t = 'tablet' join d on d.doc_id = a.doc_id)
-select doc_id, round(1 - exp(sum(ln(1 - c))), 6) as rank from c group by doc_id""")
+@query(f"with {_lexemes('documents', 'doc_id', 'text', ['exceed', 'tablet', 'patient'])}, {_AND_RANK.format(n=3)} select id as doc_id, round(rank, 6) as rank from ranked")
 def fts_rank_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = _vectors(spark, sf_dir).where(fts.matches_all(F.col("v"), _TERMS[:2]))
-    return held.select("doc_id", F.round(fts.rank_all(F.col("v"), _TERMS[:2]), 6).alias("rank"))
+    terms = fts.all_terms("a patient exceeded the tablets")
+    return _vectors(spark, sf_dir).where(fts.matches_all(F.col("v"), terms)).select("doc_id", F.round(fts.rank_all(F.col("v"), terms), 6).alias("rank"))
 
 
-@query()
+_SOURCE = "r.source_system, r.endpoint_or_document_type, strftime(r.ingested_at, '%Y-%m-%dT%H:%M:%S') as ingested_at"
+
+
+@query(f"""with {_lexemes('ingredient_versions', 'id', 'name', ['sodium', 'acet'])}, {_OR_RANK.format(n=2)}, now as {_now('ingredient', '*')},
+hit as (select n.ingredient_id, k.rank from now n join ranked k on k.id = n.id where n.status = 'active' union all select distinct a.ingredient_id, k.rank from ingredient_versions a join ranked k on k.id = a.id where a.version_number = 1),
+best as (select ingredient_id, max(rank) as rank from hit group by ingredient_id order by rank desc, ingredient_id limit 20),
+links as (select l.ingredient_id, string_agg(distinct p.product_id, ',' order by p.product_id) as ids from {_now('product', 'product_id, id')} p join product_ingredients l on l.product_version_id = p.id group by l.ingredient_id)
+select b.ingredient_id as id, n.name, round(b.rank, 6) as rank, coalesce(links.ids, '') as product_ids, {_SOURCE} from best b join now n on n.ingredient_id = b.ingredient_id join source_runs r on r.id = n.source_id left join links on links.ingredient_id = b.ingredient_id""")
 def search_ingredients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_ingredients(_store(spark, sf_dir, True), "sodium acetate", any_word=True).select("id", "name", F.round("rank", 6).alias("rank"), F.array_join("product_ids", ",").alias("product_ids"), "source.*")
 
@@ -420,13 +451,17 @@ def search_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("product_id", "name", F.round("rank", 6).alias("rank"), F.to_json("manufacturer").alias("manufacturer"), F.to_json("ingredients").alias("ingredients"), F.to_json("warnings").alias("warnings"), "source.*")
 
 
-@query()
+@query(f"""with {_lexemes('label_warnings', 'id', 'text', ['sever', 'injuri', 'stomach'], "status = 'active'")}, {_AND_RANK.format(n=3)},
+hit as (select w.id, w.category, w.text, w.product_id, w.source_id, k.rank from (select distinct id, category, text, product_id, source_id from label_warnings where status = 'active') w join ranked k on k.id = w.id order by k.rank desc, w.id limit 20)
+select h.id, h.category, h.text, round(h.rank, 6) as rank, coalesce(p.name, '?') as product, {_SOURCE} from hit h join source_runs r on r.id = h.source_id left join {_now('product', 'product_id, name')} p on p.product_id = h.product_id""")
 def search_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.search_warnings(_store(spark, sf_dir, True), "severe injuries of the stomach")
     return found.select("id", "category", "text", F.round("rank", 6).alias("rank"), F.col("product.name").alias("product"), "source.*")
 
 
-@query()
+@query(f"""with {_lexemes('documents', 'doc_id', 'text', ['voluntarili', 'recal', 'torn', 'seal'], "source = 'recall_notice'")}, {_AND_RANK.format(n=4)},
+hit as (select d.doc_id as id, d.text as reason, case when d.doc_id % 3 = 0 then 'terminated' else 'ongoing' end as status, k.rank, d.doc_id % 600 + 1 as source_id from documents d join ranked k on k.id = d.doc_id order by k.rank desc, d.doc_id limit 20)
+select h.id, h.reason, h.status, round(h.rank, 6) as rank, {_SOURCE} from hit h join source_runs r on r.id = h.source_id""")
 def search_recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.search_recalls(_store(spark, sf_dir, True), "voluntarily recalling torn seal")
     return found.select("id", "reason", "status", F.round("rank", 6).alias("rank"), "source.*")
@@ -473,8 +508,9 @@ def rich_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(text.rich_lines(F.col("text"))).alias("pos", "line"))
 
 
-@query("select distinct document_id, package_name, set_id as body from spl_documents where package_name is not null and set_id is not null")
+@query("""select distinct document_id, package_name, '<document><setId root="' || set_id || '"/><title>' || coalesce(product_name, '') || '</title></document>' as body from spl_documents where package_name is not null and set_id is not null""")
 def payload_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "spl_documents").where("package_name is not null and set_id is not null").select("document_id", "package_name", "set_id").distinct()
-    coded = d.select("document_id", text.encode_payload(F.col("package_name"), F.encode("set_id", "UTF-8")).alias("payload"))
+    body = F.concat(F.lit('<document><setId root="'), "set_id", F.lit('"/><title>'), F.coalesce("product_name", F.lit("")), F.lit("</title></document>"))
+    d = read_table(spark, sf_dir, "spl_documents").where("package_name is not null and set_id is not null").select("document_id", "package_name", body.alias("xml")).distinct()
+    coded = d.select("document_id", text.encode_payload(F.col("package_name"), F.encode("xml", "UTF-8")).alias("payload"))
     return coded.select("document_id", text.decode_payload(F.col("payload")).alias("p")).select("document_id", "p.package_name", F.decode("p.xml", "UTF-8").alias("body"))

@@ -47,6 +47,13 @@ def test_ranks(spark):
     both = df.where(fts.matches_all(F.col("v"), ["sever", "stomach"])).select(F.round(fts.rank_all(F.col("v"), ["sever", "stomach"]), 7)).collect()
     assert [r[0] for r in both] == [0.0991032]
     assert df.where(fts.matches_all(F.col("v"), fts.all_terms("the of"))).count() == 0
+    texts = ["The tablets, tablets and (Tablet) of Été_X9", None, "", "of the", "a" * 5000 + " b1", "stomach " * 3000]
+    held = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").repartition(1).withColumn("v", fts.to_vector(F.col("t"))).collect()
+    want = {i: {} for i, t in enumerate(texts) if t is not None}
+    for i in want:
+        for lexeme, at in fts.tokens(texts[i]):
+            want[i].setdefault(lexeme, []).append(at)
+    assert {r.i: r.v for r in held} == want | {1: None}
 
 
 @pytest.mark.parametrize("said, n, want", [("a [1]", 2, (True, [1], "")), ("a [1]\nb [2]", 2, (True, [1, 2], "")), ("a [1, 2]", 2, (True, [1, 2], "")), ("a", 2, (False, [], "uncited line")), ("a [1]\nb", 2, (False, [1], "uncited line")), ("a [5]", 2, (False, [], "citation out of range")),
@@ -233,7 +240,7 @@ def test_streaming(spark, tmp_path):
     assert [r.record_identifier for r in spark.read.parquet(str(tmp_path / "out/dead_letters")).collect()] == ["T"]
 
 
-def test_search_store(spark):
+def test_search_store(spark, tmp_path):
     stamp = "timestamp_ntz'2024-01-01 00:00:00'"
     mk = lambda rows, schema: spark.createDataFrame(rows, schema)
     s = {
@@ -243,12 +250,13 @@ def test_search_store(spark):
         "product_versions": mk([(1, "PRD-1", 1, "Old", "MFR-1", "active", 1), (2, "PRD-1", 2, "Vitamin C Tablets", "MFR-1", "active", 1)], "id long, product_id string, version_number int, name string, manufacturer_id string, status string, source_id int"),
         "product_ingredients": mk([(2, "ING-1", "active")], "product_version_id long, ingredient_id string, role string"),
         "warnings": mk([(1, "PRD-1", "precaution", "old injuries", "active", 1, 1), (2, "PRD-1", "precaution", "stomach injury", "active", 2, 1)], "id long, product_id string, category string, text string, status string, version_number int, source_id int"),
-        "aliases": mk([("ingredient", "ING-1", "Vitamin C", 0.93)], "entity_type string, entity_id string, alias_text string, confidence double"),
+        "aliases": mk([(5, "ingredient", "ING-1", "Vitamin C", 0.93)], "id long, entity_type string, entity_id string, alias_text string, confidence double"),
         "references": mk([("product", "PRD-1", "spl_set_id", "1111")], "entity_type string, entity_id string, reference_type string, reference_value string"),
         "recalls": mk([(9, "PRD-1", None, "glass injuries", "class_ii", "terminated", 1)], "id long, product_id string, manufacturer_id string, reason string, classification string, status string, source_id int"),
     }
-    for t, c in (("ingredient_versions", "name"), ("product_versions", "name"), ("warnings", "text"), ("recalls", "reason"), ("aliases", "alias_text")):
-        s[t] = search.with_vectors(s[t], c)
+    s["warnings"] = s["warnings"].union(s["warnings"])  # delivered twice
+    search.write_postings(s, f"{tmp_path}/postings")
+    s = search.with_postings(spark, s, f"{tmp_path}/postings")
     hit = search.search_ingredients(s, "vitamin c").first()
     assert (hit.id, hit.name, hit.product_ids) == ("ING-1", "Ascorbic Acid", ["PRD-1"])
     hit = search.search_products(s, "vitamin").first()
