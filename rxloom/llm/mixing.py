@@ -7,7 +7,8 @@ These are the rates nearest to base in (bounded) relative entropy under the cons
 source's tokens are its share of the total. The convex dual is solved by Newton steps inside a
 bracket; a step is one aggregation over the counts of documents by (source, tokens), and only one row
 a source comes to the driver. Rates become whole copies by cumulative rounding in order of length,
-so that a source's tokens are missed by less than one document.
+so that a source's tokens are missed by less than one document; then single copies are added or taken
+away, each of the longest document that still fits into what is missed.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from rxloom.session import Scratch
 
 STEPS = 60
 EXACT = 1e-9
+CORRECTIONS = 8
 SPREAD = 64
 
 
@@ -70,9 +72,34 @@ def solve(spark: SparkSession, cells: DataFrame, targets: dict, total: float | N
                 low, high = v["lo"], v["hi"]
                 step = (low + high) / 2 if math.isfinite(low) and math.isfinite(high) else (v["m"] * 2 - math.copysign(1, off) if off else v["m"])
             v["m"] = step
+    unsettled = sorted(s for s, v in state.items() if not v["full"] and not v.get("done"))
+    if unsettled:
+        raise ArithmeticError(f"no rates after {STEPS} steps for {', '.join(unsettled)}")
     return state, sums
 
 
+def corrected(spark: SparkSession, cells: DataFrame, wanted: dict) -> DataFrame:
+    """cells (source, tokens, n, cap, k) with k changed by single copies, until no document fits into what a
+    source misses. A step looks at sums and one length a source, and at most CORRECTIONS are made."""
+    changes: dict = {}
+    for _ in range(CORRECTIONS):
+        moved = spark.createDataFrame([(s, t, d) for (s, t), d in changes.items()], "source string, tokens long, d long")
+        now = cells.join(F.broadcast(moved), ["source", "tokens"], "left").withColumn("k", F.col("k") + F.coalesce("d", F.lit(0))).drop("d")
+        aims = F.broadcast(spark.createDataFrame([(s, float(w)) for s, w in wanted.items()], "source string, want double"))
+        missed = now.groupBy("source").agg(F.sum(F.col("k") * F.col("tokens")).alias("got")).join(aims, "source").select("source", (F.col("want") - F.col("got")).alias("off"))
+        fits = now.join(F.broadcast(missed), "source").where(
+            ((F.col("off") > 0) & (F.col("tokens") <= 2 * F.col("off")) & (F.col("k") < F.col("n") * F.col("cap"))) | ((F.col("off") < 0) & (F.col("tokens") <= -2 * F.col("off")) & (F.col("k") > 0))
+        )
+        best = fits.groupBy("source").agg(F.min_by(F.struct("tokens", F.signum("off").cast("long").alias("d")), F.abs(F.abs("off") - F.col("tokens"))).alias("b"), F.min(F.abs(F.abs("off") - F.col("tokens"))).alias("left"), F.max(F.abs("off")).alias("was"))
+        chosen = best.where("left < was").select("source", "b.tokens", "b.d").collect()  # one row a source
+        if not chosen:
+            return now
+        for r in chosen:
+            changes[r["source"], r["tokens"]] = changes.get((r["source"], r["tokens"]), 0) + r["d"]
+    moved = spark.createDataFrame([(s, t, d) for (s, t), d in changes.items()], "source string, tokens long, d long")
+    return cells.join(F.broadcast(moved), ["source", "tokens"], "left").withColumn("k", F.col("k") + F.coalesce("d", F.lit(0))).drop("d")
+
+
 def mix(spark: SparkSession, docs: DataFrame, targets: DataFrame, total: float | None = None, path: str = TOKENIZER) -> DataFrame:
     """doc_id, source, tokens, copies of every document of a source in targets (source, target_share, max_repeats).
 
@@ -96,7 +123,8 @@ def mix(spark: SparkSession, docs: DataFrame, targets: DataFrame, total: float |
     upto = Window.partitionBy("source").orderBy("tokens").rowsBetween(Window.unboundedPreceding, 0)
     held = cells.join(F.broadcast(rates), "source").withColumn("mass", F.col("n") * rate).withColumn("upto", F.sum("mass").over(upto))
     whole = lambda c: F.floor(c + 0.5 + 1e-7)
-    shared = held.select("source", "tokens", "n", F.least(whole(F.col("upto")) - whole(F.col("upto") - F.col("mass")), (F.col("n") * F.col("cap")).cast("long")).alias("k"))
+    rounded, _ = scratch.keep(held.select("source", "tokens", "n", "cap", F.least(whole(F.col("upto")) - whole(F.col("upto") - F.col("mass")), (F.col("n") * F.col("cap")).cast("long")).alias("k")))
+    shared = corrected(spark, rounded, {s: v["want"] for s, v in state.items()})
     # which of a cell's documents get one copy more: the first by hash, ranked in SPREAD parts of a cell
     spread = counted.where("tokens > 0").withColumn("h", F.xxhash64("doc_id")).withColumn("part", F.pmod("h", F.lit(SPREAD)))
     parts = spread.groupBy("source", "tokens", "part").agg(F.count("*").alias("c"))

@@ -52,11 +52,18 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p9_copies(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
 
 
+def p9_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each source: whether no document is used too often, and whether the share is within a thousandth of its target."""
+    targets = read_table(spark, sf_dir, "mix_targets").select("source", "max_repeats").distinct()
+    held = p9_shares(spark, sf_dir).join(targets, "source")
+    return held.select("source", (F.col("most_repeats") <= F.col("max_repeats")).alias("within_repeats"), (F.abs(F.col("actual_share") - F.col("target_share")) < 0.001).alias("at_target"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(read_table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_confidence, p5_found, p6_found, p7_found, p8_ids, p8_roundtrip, p9_copies, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_confidence, p5_found, p6_found, p7_found, p8_ids, p8_roundtrip, p9_copies, p9_shares, p9_bounds, p10_found)}
 
 _P7 = r"""
 with recursive e as (
@@ -66,4 +73,4 @@ either as (select a, b from e where a <> b union select b, a from e where a <> b
 reach as (select a, b from either union select r.a, x.b from reach r join either x on r.b = x.a)
 select a as entity_id, least(a, min(b)) as group_id from reach group by a"""
 
-ORACLE = {"p7_found": _P7, "p8_roundtrip": "select doc_id, coalesce(text, '') as text from documents"}
+ORACLE = {"p7_found": _P7, "p9_bounds": "select distinct source, true as within_repeats, true as at_target from mix_targets", "p8_roundtrip": "select doc_id, coalesce(text, '') as text from documents"}
