@@ -14,7 +14,7 @@ from rxloom.operators.resolve import redirects, resolve
 from rxloom.operators.store import current_versions, dense_numbers, repoint_links
 from rxloom.plans.ingest import CANDIDATE, label_reasons, parse_label_records, save_reasons, spl_reasons, transform_labels, transform_spl
 from rxloom.schema import PREFIXES, TABLES
-from rxloom.session import Scratch
+from rxloom.session import Scratch, at_once
 
 PARTS = ["ingredient_versions", "manufacturer_versions", "product_versions", "product_ingredients", "warnings", "references", "aliases"]
 LETTERS = "stage string, record_identifier string, raw_payload string, error_message string"
@@ -86,8 +86,10 @@ def save_candidates(spark: SparkSession, candidates: DataFrame, store: dict[str,
     rows = judged.where("reason = ''")
     listed = rows.select("record_key", F.col("ordinal").alias("record"), F.explode("ingredients").alias("i")).select("record_key", "record", "i.pos", "i.name", "i.unii", "i.role")
     links, _ = scratch.keep(dense_numbers(scratch.keep(listed)[0], ["record", "pos"], "ordinal"))
-    ingredients, added = _entities(spark, store, "ingredient", links.select("ordinal", "name", F.col("unii").alias("identifier")), stamp)
-    makers, more = _entities(spark, store, "manufacturer", rows.select("ordinal", F.col("manufacturer_name").alias("name"), F.col("manufacturer_duns").alias("identifier")), stamp)
+    named = rows.select("ordinal", F.col("manufacturer_name").alias("name"), F.col("manufacturer_duns").alias("identifier"))
+    (ingredients, added), (makers, more) = at_once(
+        lambda: _entities(spark, store, "ingredient", links.select("ordinal", "name", F.col("unii").alias("identifier")), stamp), lambda: _entities(spark, store, "manufacturer", named, stamp)
+    )
     roles, _ = scratch.keep(links.join(ingredients, "ordinal").groupBy("record", "entity_id").agg(F.min_by("role", "pos").alias("role")))  # the first role holds
     sets = roles.groupBy(F.col("record").alias("ordinal")).agg(F.sort_array(F.collect_list(F.struct("entity_id", "role"))).alias("ings"))
     compared = ["name", "product_type", *(["dosage_form"] if forms else []), "manufacturer_id", "ings", "warns"]
@@ -139,7 +141,9 @@ def load_documents(spark: SparkSession, documents: DataFrame, store: dict[str, D
 
 def appended(store: dict[str, DataFrame], rows: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The store after a load: only the new rows are written, the rest is read where it is."""
-    return {t: df.unionByName(Scratch(df.sparkSession).keep(rows[t])[0]) if t in rows else df for t, df in store.items()}
+    given = [t for t in store if t in rows]
+    kept = at_once(*(lambda t=t: Scratch(rows[t].sparkSession).keep(rows[t])[0] for t in given))
+    return store | {t: store[t].unionByName(new) for t, new in zip(given, kept)}
 
 
 def decide_reviews(spark: SparkSession, store: dict[str, DataFrame], reviews: DataFrame, decisions: DataFrame, source_id: int, now: Column) -> tuple[dict[str, DataFrame], DataFrame]:

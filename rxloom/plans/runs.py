@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from rxloom.operators.observability import resumable_run, resume_by_name, resume_by_position
 from rxloom.plans.load import PARTS, load_documents, load_labels
 from rxloom.schema import TABLES
+from rxloom.session import at_once
 
 BATCH = 100_000
 _SCHEMAS = {t: TABLES[t].replace("decimal(38,18)", "double") for t in PARTS} | {
@@ -121,11 +122,10 @@ class RunStore:
         load = load_labels if kind == "labels" else load_documents
         rows = load(self.spark, part, self.tables(), source_id, now)
         letters = rows["dead_letters"].select(F.xxhash64(F.lit(run), "stage", "record_identifier", "raw_payload", "error_message").alias("id"), F.lit(source).alias("source"), F.lit(run).alias("run_id"), "stage", "record_identifier", "raw_payload", "error_message", now.alias("created_at"))
-        for t in (*PARTS, "reviews"):
-            self._write(t, rows[t], run, batch)
-        self._write("dead_letters", letters, run, batch)
+        tables = {t: rows[t] for t in (*PARTS, "reviews")} | {"dead_letters": letters}
         if kind == "documents":
-            self._write("packages", part.select(F.lit(run).alias("run_id"), "package_name"), run, batch)
+            tables["packages"] = part.select(F.lit(run).alias("run_id"), "package_name")
+        at_once(*(lambda t=t, df=df: self._write(t, df, run, batch) for t, df in tables.items()))
         fetched = part.count()
         outcomes = {r[0]: r[1] for r in rows["outcomes"].groupBy("outcome").count().collect()}
         stages = {r[0]: r[1] for r in rows["dead_letters"].groupBy("stage").count().collect()}

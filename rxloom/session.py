@@ -11,6 +11,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +51,12 @@ def ship(spark: SparkSession) -> None:
     sc._rxloom_shipped = True
 
 
+def at_once(*calls: Callable) -> list:
+    """The results of independent calls, whose Spark jobs run beside each other."""
+    with ThreadPoolExecutor(len(calls)) as pool:
+        return [f.result() for f in [pool.submit(c) for c in calls]]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
