@@ -31,7 +31,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rxloom.llm.names import _TAIL, BRANCHES, TRADE
@@ -464,11 +464,12 @@ def propagate(spark: SparkSession, pairs: DataFrame, rivals_a: DataFrame, rivals
             moved = held.join(to_a, ["a", "vb"], "left").join(to_b, ["b", "va"], "left").select(
                 "a", "b", "va", "vb", "t", mix("ma", F.col("sa")), mix("mb", F.col("sb")), F.col("ma").alias("wa"), F.col("mb").alias("wb")
             )
-            ahead, at = scratch.keep(moved)
             apart = F.greatest(F.abs(F.log(F.col("ma") / F.col("wa"))), F.abs(F.log(F.col("mb") / F.col("wb"))))
-            change = ahead.agg(F.max(apart)).first()[0]
+            seen = Observation()  # taken while the round is written
+            ahead, at = scratch.keep(moved.observe(seen, F.max(apart).alias("change")).drop("wa", "wb"))
+            change = seen.get["change"]
             scratch.drop(path)
-            held, path = ahead.drop("wa", "wb"), at
+            held, path = ahead, at
             if change is None or change < settled:
                 break
         else:
