@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rxloom.functions import fts, text
 from rxloom.operators import evidence, observability, resolve, search, store
 from rxloom.plans import ingest
-from rxloom.session import Scratch, read_table
+from rxloom.session import Scratch, exists, read_table
 
 NOW = "timestamp '2024-06-01 00:00:00'"
 QUERIES: dict = {}
@@ -202,7 +202,7 @@ def _store(spark: SparkSession, sf_dir: str, searched: bool = False) -> dict:
     held["aliases"] = held["ingredient_versions"].where("version_number = 1").select("id", F.lit("ingredient").alias("entity_type"), F.col("ingredient_id").alias("entity_id"), F.col("name").alias("alias_text"), F.lit(0.9).alias("confidence"))
     if searched:
         key = (spark.sparkContext.applicationId, sf_dir)
-        if key not in _INDEXES:
+        if key not in _INDEXES or not exists(spark, _INDEXES[key]):
             at = f"{Scratch(spark).root}/postings"
             search.write_postings(held, at)
             _INDEXES[key] = at

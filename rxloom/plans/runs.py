@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from rxloom.operators.observability import resumable_run, resume_by_name, resume_by_position
 from rxloom.plans.load import PARTS, load_documents, load_labels
 from rxloom.schema import TABLES
-from rxloom.session import at_once
+from rxloom.session import at_once, exists
 
 BATCH = 100_000
 _SCHEMAS = {t: TABLES[t].replace("decimal(38,18)", "double") for t in PARTS} | {
@@ -38,9 +38,7 @@ class RunStore:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _folder(self, table: str, schema: str) -> DataFrame:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
+        if not exists(self.spark, f"{self.path}/{table}"):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
 
