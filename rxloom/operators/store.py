@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rxloom.functions.text import entity_id
+from rxloom.session import Scratch
 
 
 def current_versions(versions: DataFrame, entity: str) -> DataFrame:
@@ -28,8 +29,10 @@ def active_only(current: DataFrame) -> DataFrame:
 def dense_numbers(df: DataFrame, order: list[str], column: str, start: int = 0) -> DataFrame:
     """Adds 1, 2, ... after start in this order, without gathering the rows in one task.
 
-    Rows are range-partitioned; a partition's numbers begin after the counts of those before it."""
-    cut = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    Rows are range-partitioned; a partition's numbers begin after the counts of those before it. The
+    partitions are written first: cut again for the counts, which need fewer columns, adaptive
+    execution would put them together in another way."""
+    cut, _ = Scratch(df.sparkSession).keep(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     counts = {r[0]: r[1] for r in cut.groupBy("_p").count().collect()}  # one row a partition
     before, total = [], start
     for p in range(max(counts, default=-1) + 1):

@@ -267,3 +267,18 @@ def test_search_store(spark, tmp_path):
     got = search.retrieve(s, "injury vitamin").collect()  # no entity has both, so any word will do
     assert [r.number for r in got] == list(range(1, len(got) + 1)) and {r.entity_type for r in got} == {"ingredient", "product", "warning", "recall"}
     assert search.retrieve(s, "vitamin c").where("entity_type = 'ingredient'").first().entity_resolution_confidence == 0.93
+
+
+def test_dense_numbers_of_wide_rows(spark):
+    """Partitions are cut once, however adaptive execution puts those of a narrower plan together."""
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.shuffle.partitions": "16"}
+    was = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(20_000).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+        got = store.dense_numbers(rows, ["k"], "n", 5)
+        assert got.where("n <> k + 6").count() == 0 and got.count() == got.select("wide", "n").distinct().count() == 20_000
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
