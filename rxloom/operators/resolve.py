@@ -11,8 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rxloom.functions.text import AUTO_MERGE, REVIEW, normalize_name, similarity_of, trigrams
@@ -20,20 +20,47 @@ from rxloom.operators.graph import group_pairs
 from rxloom.operators.store import dense_numbers
 from rxloom.session import Scratch
 
+#: Trigrams above which a name has single trigrams as keys, not pairs of them.
+LONG = 256
+
+
+def _packed(grams: Column) -> Column:
+    """Trigrams as numbers that are equal where they are: three code points of 21 bits each."""
+    at = lambda g, i: F.ascii(F.substring(g, F.lit(i), F.lit(1))).cast("long")
+    return F.transform(grams, lambda g: F.shiftleft(at(g, 1), 42) + F.shiftleft(at(g, 2), 21) + at(g, 3))
+
+
+def _keys(grams: DataFrame, threshold: float) -> DataFrame:
+    """key, id, n, indexed of names (id, t), which are the trigrams t of each: pairs over the threshold share a key that is indexed in the smaller.
+
+    Names of x >= y trigrams share ``least`` of x or ``sure`` of y at least, by these counts. So the first two that they
+    share, rarest first, are among the first x - least + 2 and y - sure + 2. Where they may share but one, and
+    for long names, which would have too many pairs, single trigrams are keys, with one less."""
+    df = grams.groupBy("t").agg(F.count("*").alias("df"))
+    ranked = grams.join(df, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("r")).select("id", F.size("r").alias("n"), F.transform("r", lambda x: x["t"]).alias("r"))
+    least, sure = (F.ceil(F.lit(share) * F.col("n") - 1e-9).cast("int") for share in (threshold, 2 * threshold / (1 + threshold)))
+    held, _ = Scratch(grams.sparkSession).keep(ranked.select("id", "n", least.alias("least"), (F.col("n") - sure + 2).alias("first"), F.slice("r", F.lit(1), F.col("n") - least + 2).alias("r")))
+    none = F.array().cast("array<struct<key:long,at:int>>")
+    two = F.flatten(F.transform("r", lambda b, j: F.transform(F.slice("r", F.lit(1), j), lambda a: F.struct(F.xxhash64(a, b).alias("key"), j.alias("at")))))
+    one = F.transform(F.slice("r", F.lit(1), F.col("n") - F.col("least") + 1), lambda a, j: F.struct(F.xxhash64(a).alias("key"), (j + 1).alias("at")))
+    listed = F.concat(F.when(F.col("n") <= LONG, two).otherwise(none), F.when((F.col("least") < 2) | (F.col("n") >= threshold * LONG), one).otherwise(none))
+    return held.select("id", "n", "first", F.explode(listed).alias("k")).select("k.key", "id", "n", (F.col("k.at") < F.col("first")).alias("indexed"))
+
 
 def similarity_join(names: DataFrame, threshold: float = REVIEW) -> DataFrame:
     """a, b, score of distinct names (name), a < b, with at least that trigram similarity.
 
-    Exact, by prefix filter: of each name's n trigrams, rarest first, n - ceil(t * n) + 1 are indexed;
-    two names over the threshold share one of them, and their sizes differ by no more than it allows."""
-    held = names.select("name").where("name is not null").distinct().withColumn("g", trigrams(F.col("name"))).withColumn("n", F.size("g")).where("n > 0")
-    grams = held.select("name", "n", F.explode("g").alias("t"))
-    df = grams.groupBy("t").agg(F.count("*").alias("df"))
-    nth = F.row_number().over(Window.partitionBy("name").orderBy("df", "t"))
-    prefix = grams.join(df, "t").withColumn("k", nth).where(F.col("k") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select("name", "n", "t")
-    pairs = prefix.alias("x").join(prefix.alias("y"), "t").where("x.name < y.name").where(F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9).select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct()
-    one = lambda c: held.select(F.col("name").alias(c), F.col("g").alias(f"g{c}"))
-    return pairs.join(one("a"), "a").join(one("b"), "b").withColumn("score", similarity_of(F.col("ga"), F.col("gb"))).where(F.col("score") >= threshold).select("a", "b", "score")
+    Exact, by prefix filter over pairs of rare trigrams (_keys); names of sizes that the threshold allows are
+    compared once for each two of them, by numbers in place of trigrams."""
+    distinct = names.select("name").where("name is not null").distinct().withColumn("id", F.monotonically_increasing_id())
+    held, _ = Scratch(names.sparkSession).keep(distinct.withColumn("g", _packed(trigrams(F.col("name")))).where("size(g) > 0"))
+    keys = _keys(held.select("id", F.explode("g").alias("t")), threshold)
+    x, y = keys.drop("indexed"), keys.where("indexed").select("key", F.col("id").alias("other"), F.col("n").alias("m"))
+    fits = ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("other") < F.col("id")))) & (F.col("m") >= threshold * F.col("n") - 1e-9)
+    pairs = x.join(y, "key").where(fits).select("id", "other").distinct()
+    one = lambda i, c: held.select(F.col("id").alias(i), F.col("name").alias(c), F.col("g").alias(f"g{c}"))
+    scored = pairs.join(one("id", "a"), "id").join(one("other", "b"), "other").withColumn("score", similarity_of(F.col("ga"), F.col("gb"))).where(F.col("score") >= threshold)
+    return scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
 
 
 def best_matches(candidates: DataFrame, existing: DataFrame, threshold: float = REVIEW) -> DataFrame:
@@ -97,17 +124,32 @@ def fold(rows: list[tuple], existing: list[tuple], scores: dict) -> list[tuple]:
     return out
 
 
-def _folder(key: tuple, mine: pd.DataFrame) -> pd.DataFrame:
-    rows = mine[mine.kind == "candidate"].sort_values("ordinal")
-    old = mine[mine.kind == "existing"]
-    pairs = mine[mine.kind == "pair"]
-    none = lambda v: None if v is None or v != v else v
-    found = fold(
-        [(int(o), n, n, none(i)) for o, n, i in zip(rows.ordinal, rows.name_, rows.identifier)],
-        [(e, none(n), none(i)) for e, n, i in zip(old.entity, old.name_, old.identifier)],
-        {(a, b): s for a, b, s in zip(pairs.name_, pairs.other, pairs.score)},
+def _folded(rows: list[tuple]) -> list[tuple]:
+    """fold of one group's rows (kind, ordinal, entity, name_, identifier, other, score), candidates in order."""
+    return fold(
+        [(o, n, n, i) for kind, o, _, n, i, _, _ in rows if kind == "candidate"],
+        [(e, n, i) for kind, _, e, n, i, _, _ in rows if kind == "existing"],
+        {(a, b): s for kind, _, _, a, _, b, s in rows if kind == "pair"},
     )
-    return pd.DataFrame(found, columns=[c.split()[0] for c in _FOLDED.split(", ")])
+
+
+def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by component are folded group by group; one group at a time is held."""
+    schema = pa.schema([("ordinal", pa.int64()), ("entity", pa.string()), ("outcome", pa.string()), ("matched", pa.string()), ("score", pa.float64())])
+    listed = lambda found: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+    held, at = [], None
+    for batch in batches:
+        found = []
+        for component, *row in zip(*batch.to_pydict().values()):
+            if component != at:
+                found += _folded(held)
+                held, at = [], component
+            held.append(tuple(row))
+        if found:
+            yield listed(found)
+    found = _folded(held)
+    if found:
+        yield listed(found)
 
 
 def resolve(spark: SparkSession, candidates: DataFrame, existing: DataFrame | None = None, prefix: str = "ING", last: int = 0) -> DataFrame:
@@ -139,7 +181,9 @@ def resolve(spark: SparkSession, candidates: DataFrame, existing: DataFrame | No
         .unionByName(place(old, e).select("component", F.lit("existing").alias("kind"), null("long").alias("ordinal"), "entity", "name_", "identifier", none.alias("other"), null("double").alias("score")))
         .unionByName(place(scored, F.concat(F.lit("n:"), "a")).select("component", F.lit("pair").alias("kind"), null("long").alias("ordinal"), none.alias("entity"), F.col("a").alias("name_"), none.alias("identifier"), F.col("b").alias("other"), "score"))
     )
-    folded, _ = scratch.keep(alike.groupBy("component").applyInPandas(_folder, _FOLDED))
+    # thousands of small groups: a call of Python for each would take longer than all else
+    sorted_ = alike.repartition("component").sortWithinPartitions("component", "ordinal", "entity", "name_", "identifier", "other")
+    folded, _ = scratch.keep(sorted_.mapInArrow(_fold_batches, _FOLDED))
     made = dense_numbers(folded.where("entity = concat('new:', ordinal)").select("ordinal"), ["ordinal"], "_k", last)
     ids = made.select(F.concat(F.lit("new:"), "ordinal").alias("_new"), F.format_string(f"{prefix}-%06d", "_k").alias("_id"))
     named = folded.join(ids, F.col("entity") == F.col("_new"), "left").withColumn("entity_id", F.coalesce("_id", "entity")).drop("_new", "_id")

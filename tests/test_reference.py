@@ -112,6 +112,40 @@ def test_resolution_tiers(spark):
     assert got == {0: ("ING-000001", "created"), 1: ("ING-000001", "auto_merge"), 2: ("ING-000002", "created"), 3: ("ING-000003", "review"), 4: ("ING-000004", "created"), 5: ("ING-000005", "created")}
 
 
+def spelled(n, seed=0):
+    """Made-up names: few trigrams, each in many of them."""
+    r = random.Random(seed)
+    return sorted({" ".join("".join(r.choice("bdgkmnst") + r.choice("aeiou") for _ in range(r.choice([3, 3, 4]))) for _ in range(2)) + r.choice(["", " pharma", " pharma inc", " labs"]) for _ in range(n)})
+
+
+@pytest.mark.parametrize("threshold, long", [(0.75, 256), (0.75, 16), (0.3, 256), (0.5, 12), (1.0, 256)])
+def test_similarity_join_equals_brute_force(spark, monkeypatch, threshold, long):
+    """Also where few trigrams are shared, and where some names or all are too long for pairs of trigrams."""
+    monkeypatch.setattr(resolve, "LONG", long, raising=False)
+    base = spelled(60)
+    names = base + [n + "s" for n in base[::2]] + [n[1:] for n in base[::3]] + ["a", "b", "a b", "b a", "a b c", "ab", "ba", "\U0001f48a pill", "\U0001f48b pill", "é", "é e", "-", "", None, base[0]]
+    got = {(x.a, x.b): round(x.score, 9) for x in resolve.similarity_join(spark.createDataFrame([(n,) for n in names], "name string"), threshold).collect()}
+    held = sorted({n for n in names if n})
+    want = {(a, b): round(s, 9) for i, a in enumerate(held) for b in held[i + 1 :] if (s := similarity(a, b)) >= threshold}
+    assert want and got == want
+
+
+def test_similarity_join_compares_few_names(spark, monkeypatch):
+    """Names that share many trigrams, but not enough of the rare ones together, aren't compared."""
+    names = spelled(3000)
+    monkeypatch.setattr(resolve, "similarity_of", lambda a, b: F.lit(1.0))
+    compared = resolve.similarity_join(spark.createDataFrame([(n,) for n in names], "name string")).count()
+    assert compared < 10 * len(names)
+
+
+def test_ordinals_beyond_the_exact_doubles(spark):
+    """Groups with pairs and existing names, which have no ordinal, keep each ordinal to its last digit."""
+    rows = [(2**60 + i, n, u) for i, (n, u) in enumerate([("zinc oxide", None), ("zinc oxides", None), ("zinc oxide", "U1"), ("vitamin", "U1")])]
+    existing = spark.createDataFrame([("ING-000001", "zinc oxide", None)], "entity_id string, name string, identifier string")
+    got = {x.ordinal: x.entity_id for x in resolve.resolve(spark, spark.createDataFrame(rows, "ordinal long, name string, identifier string"), existing, last=1).collect()}
+    assert got == {2**60: "ING-000001", 2**60 + 1: "ING-000002", 2**60 + 2: "ING-000001", 2**60 + 3: "ING-000003"}
+
+
 def test_redirects_and_links(spark):
     asked = spark.createDataFrame([(1, "B", "C"), (2, "A", "B"), (3, "X", "Y"), (4, "Z9", "Z1"), (5, "P", "Q"), (6, "Q", "P"), (7, None, "N"), (8, "S", "S")], "id long, candidate_a_id string, candidate_b_id string")
     moved = resolve.redirects(spark, asked)
