@@ -41,7 +41,7 @@ def _entities(spark: SparkSession, store: dict, kind: str, asked: DataFrame, sta
     """The resolved rows of asked (ordinal, name, identifier), and the rows that resolution adds."""
     scratch = Scratch(spark)
     found, _ = scratch.keep(resolve(spark, asked, _known(store, kind), PREFIXES[kind], _last(store[f"{kind}_versions"], f"{kind}_id")))
-    named = found.join(asked.select("ordinal", "name", "identifier"), "ordinal")
+    named, _ = scratch.keep(found.join(asked.select("ordinal", "name", "identifier"), "ordinal"))  # four tables are made of it
     made = named.where("outcome in ('created', 'review')")
     versions = made.select(F.xxhash64("entity_id", F.lit(1)).alias("id"), F.col("entity_id").alias(f"{kind}_id"), F.lit(1).alias("version_number"), "name", normalize_name(F.col("name")).alias("normalized_name"), F.lit("active").alias("status"), *stamp)
     told = named.where("identifier is not null and identifier <> '' and outcome in ('created', 'review', 'auto_merge')")

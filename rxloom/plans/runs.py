@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from rxloom.operators.observability import resumable_run, resume_by_name, resume_by_position
 from rxloom.plans.load import PARTS, load_documents, load_labels
 from rxloom.schema import TABLES
-from rxloom.session import at_once, exists
+from rxloom.session import Scratch, at_once, empty, exists
 
 BATCH = 100_000
 _SCHEMAS = {t: TABLES[t].replace("decimal(38,18)", "double") for t in PARTS} | {
@@ -39,7 +39,7 @@ class RunStore:
 
     def _folder(self, table: str, schema: str) -> DataFrame:
         if not exists(self.spark, f"{self.path}/{table}"):
-            return self.spark.createDataFrame([], schema)
+            return empty(self.spark, schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
 
     def log(self) -> DataFrame:
@@ -48,14 +48,20 @@ class RunStore:
         latest = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("batch"), F.desc("_part")))
         return states.drop("_run").withColumn("_n", latest).where("_n = 1").drop("_n", "_part")
 
-    def table(self, name: str) -> DataFrame:
-        """The rows of all batches that were completed."""
+    def _done(self) -> DataFrame:
+        return self.log().select(F.col("run_id").alias("_run"), F.col("batch").alias("_last"))
+
+    def table(self, name: str, done: DataFrame | None = None) -> DataFrame:
+        """The rows of all batches that were completed; ``done`` says which where it is at hand."""
+        if not exists(self.spark, f"{self.path}/{name}"):
+            return empty(self.spark, _SCHEMAS[name])
         rows = self._folder(name, _SCHEMAS[name] + ", _run string, _batch int")
-        done = self.log().select(F.col("run_id").alias("_run"), F.col("batch").alias("_last"))
-        return rows.join(done, "_run").where("_batch <= _last").drop("_run", "_batch", "_last")
+        return rows.join(self._done() if done is None else done, "_run").where("_batch <= _last").drop("_run", "_batch", "_last")
 
     def tables(self) -> dict[str, DataFrame]:
-        return {t: self.table(t) for t in PARTS}
+        """The tables of a load. What is done is written once: each plan would find it out again for each table."""
+        done, _ = Scratch(self.spark).keep(self._done())
+        return {t: self.table(t, done) for t in PARTS}
 
     def _write(self, table: str, rows: DataFrame, run: str, batch: int) -> None:
         rows.select(*(x.split()[0] for x in _SCHEMAS[table].split(", "))).write.mode("overwrite").parquet(f"{self.path}/{table}/_run={run}/_batch={batch}")
@@ -142,7 +148,6 @@ class RunStore:
 
         Each is marked as tried, also if it fails again, which gives a new dead letter."""
         from rxloom.operators.store import dense_numbers
-        from rxloom.session import Scratch
 
         held, _ = Scratch(self.spark).keep(self.open_letters("openfda").select("id", F.col("raw_payload").alias("raw")))
         records, _ = Scratch(self.spark).keep(dense_numbers(held, ["id"], "ordinal", -1))
@@ -151,7 +156,6 @@ class RunStore:
     def reprocess_documents(self, now: Column, batch_size: int = BATCH) -> str:
         from rxloom.functions.text import decode_payload
         from rxloom.operators.store import dense_numbers
-        from rxloom.session import Scratch
         from rxloom.sources.spl import extract_packages
 
         held, _ = Scratch(self.spark).keep(self.open_letters("dailymed").select("id", decode_payload(F.col("raw_payload")).alias("p")).select("id", "p.package_name", "p.xml"))

@@ -147,6 +147,17 @@ def test_documents_skip_packages_that_are_done(spark, tmp_path, monkeypatch):
     assert held.table("dead_letters").count() == 2 and held.open_letters("dailymed").count() == 1
 
 
+def test_plans_of_an_empty_store_are_empty(spark, tmp_path):
+    """Tables that no batch has written yet are known to have no rows, and a load's tables don't work out the log again."""
+    held = runs.RunStore(spark, str(tmp_path))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert all(plan(df).startswith("LocalRelation <empty>") for df in held.tables().values())
+    held.ingest("labels", labels(spark, record("S1", "Gel", ["Zinc"], ["U1"])), now())
+    after = held.tables()["product_versions"]
+    assert after.count() == held.table("product_versions").count() == 1 and after.dtypes == held.table("product_versions").dtypes
+    assert "Window" not in plan(after)
+
+
 def queued(spark):
     """A store where 'Ascorbic Acid, USP' waits for review against 'Ascorbic Acid'."""
     store, _, rows = run(spark, load.empty_store(spark), record("S1", "C", ["Ascorbic Acid"], ["U1"]), record("S2", "C2", ["Ascorbic Acid, USP"], ["U2"]), record("S3", "C3", ["Ascorbic Acid, USP", "Ascorbic Acid"], ["U2", "U1"]))
